@@ -1,0 +1,509 @@
+"""Each operator against a brute-force version, a round trip or held-out labels, and on awkward inputs."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, classifier, html, mixing, queries, rules, sharding, simhash, topk, urlfilter, warc
+from quillspark.session import new_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, id string, size string, tokens string, key string, words string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in any column, blank and very long texts, repeated rows, ties, clashing extra columns."""
+    x = ["x"] * 6
+    long = "lorem ipsum dolor sit amet " * 40_000
+    rows = [(1, None, "en", "a", None, *x), (2, "", None, None, 0, *x), (None, "one two three four", "en", "b", 1, *x), (4, long, "de", "a", 1, *x), (5, " \n\t ", "en", "b", 1, *x)]
+    rows += [(6, "the same row twice over", "en", "a", 2, *x)] * 2 + [(None, None, None, None, None, *x), (7, "w" * 3_000, None, "c", 1, *x), (8, "é ß 漢字 \u00a0 \u2003 tab\tend  ", "fr", "c", 1, *x)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def plain_fingerprint(text, k):
+    words = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_op1_against_all_pairs(spark, small, texts):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op1_simhash(spark, small).collect()}
+    prints = {i: plain_fingerprint(t, 3) for i, t in texts.items()}
+    roots = plain_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert got == {i: (f"{prints[i]:016x}", roots[i]) for i in prints}
+
+
+def test_links_find_every_close_pair(spark):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    for p in prints[:40]:
+        for flips in (1, 2, 2, 3):
+            q = p
+            for b in rng.sample(range(64), flips):
+                q ^= 1 << b
+            prints.append(q)
+    prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+    fps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for bits in (1, 2, 3):
+        got = {(r["u"], r["v"]) for r in simhash.links(fps, bits).collect()}
+        assert got == {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) % 2**64).bit_count() <= bits}
+
+
+def test_op1_awkward(awkward, empty):
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_groups(awkward).collect())
+    assert sum(got.values()) == 10
+    assert got[1, 1] == got[2, 1] == got[5, 1] == got[None, 1] == 1  # no words: fingerprint zero, linked
+    assert got[6, 6] == 2
+    assert got[None, None] == 1
+    assert simhash.near_duplicate_groups(empty).count() == 0
+
+
+def variants(n_groups=30, copies=4, words=260, changed=5):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, group = [], {}
+    for g in range(n_groups):
+        base = rng.choices(vocabulary, k=words)
+        for c in range(copies):
+            own = list(base)
+            for i in rng.sample(range(words), changed * (c > 0)):
+                own[i] = rng.choice(vocabulary)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(own)))
+    return rows, group
+
+
+@pytest.mark.parametrize(("changed", "least"), [(0, 1.0), (1, 0.99), (3, 0.97), (5, 0.85)])
+def test_wide_mode_recall(spark, changed, least):
+    rows, group = variants(changed=changed)
+    left = [r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    n = len(set(group.values()))
+    assert {group[i] for i in left} == set(range(n))  # one of each group at least
+    assert (len(rows) - len(left)) / (len(rows) - n) >= least
+
+
+def test_wide_mode_keeps_unlike_texts(spark, docs, texts):
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+    shingles = {i: set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for i, t in texts.items()}
+    for i in set(texts) - kept:  # what went has a close relative
+        assert max(len(shingles[i] & s) / max(1, len(shingles[i] | s)) for j, s in shingles.items() if j != i) >= 0.6 or texts[i] in [t for j, t in texts.items() if j != i]
+
+
+def test_wide_mode_awkward(awkward, empty):
+    got = Counter(r["doc_id"] for r in simhash.drop_near_duplicates(awkward).collect())
+    assert got[6] == got[4] == got[7] == got[8] == 1
+    assert simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_op2_against_labels(spark, small):
+    sf = small.replace("0.001", "0.01")
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r["doc_id"]: r["kept"] for r in queries.op2_quality_classifier(spark, sf).collect()}
+    assert np.mean([kept[i] == bool(q) for i, q in truth.items()]) >= 0.98
+    assert np.mean([kept[i] for i, q in truth.items() if q]) >= 0.995
+
+
+def test_em_recovers_accuracies():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.8
+    counts = Counter()
+    for good in truth:
+        cast = [0] * classifier.N_LABELLERS
+        for i in (0, 1, 2, 4, 5):  # these say bad, of bad ones in half the cases
+            cast[i] = classifier.BAD if rng.random() < (0.01 if good else 0.5) else 0
+        for i in (3, 6):
+            cast[i] = classifier.GOOD if (rng.random() < 0.9) == good else classifier.BAD
+        counts[sum(v * 3**i for i, v in enumerate(cast))] += 1
+    _, table, prior = classifier.fit_accuracies(dict(counts))
+    assert abs(prior - 0.8) < 0.02
+    assert abs(table[3, 1, classifier.GOOD] - 0.9) < 0.02
+    assert abs(table[0, 0, classifier.BAD] - 0.5) < 0.04
+
+
+def test_op2_awkward(awkward, empty):
+    assert classifier.keep_good(awkward).columns == awkward.columns
+    weights, _, _ = classifier.fit(awkward)
+    assert classifier.with_quality(awkward, weights).where("quality_score is null").count() == 0
+    assert classifier.keep_good(empty).count() == 0
+
+
+def test_op3_rules(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/7x", "http://sub.EXAMPLE.com/en/70?q", "http://badcom/en/1", "https://x.net/de/8", "http://example.net/de/8", "http://x.example.net/de/", "http://org/es/", "nothing", None, "http://a.com?x=/en/", "http://com/en/", "http://acom/en/", "http://a.com/en", "", "x://y.org/es/#f", "http://a.com.org/en/"]
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)] + [(0, urls[0], "clash", "clash")], "page_id long, url string, token string, pattern string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, urlfilter.RULES)).collect()}
+    parts = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in parts if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, "allow")
+        assert got[i] == (host, path, rule, verdict), url
+    assert urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, urlfilter.RULES)).count() == len(urls) + 1
+    assert urlfilter.filter_urls(pages.limit(0), urlfilter.rules_frame(spark, urlfilter.RULES)).count() == 0
+    assert urlfilter.filter_urls(pages, spark.createDataFrame([], urlfilter.RULE_SCHEMA)).where("verdict = 'allow'").count() == len(urls) + 1
+
+
+def test_op3_long_list_joins_alike(spark, small, monkeypatch):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
+    rules_ = urlfilter.rules_frame(spark, [*urlfilter.RULES, urlfilter.pattern_rule("block", "feeds", r"/fr/\d+", ["fr"])])
+    first = sorted(map(tuple, urlfilter.filter_urls(pages, rules_).collect()), key=str)
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 0)
+    assert sorted(map(tuple, urlfilter.filter_urls(pages, rules_).collect()), key=str) == first
+
+
+def plain_top(rows, k):
+    out = []
+    clean = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in clean:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in clean if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return out
+
+
+def test_op4_against_all_scores(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.gauss(0, 0.3)]) for _ in range(12)]) for i in range(300)]
+    rows += [(400, None), (420, []), (440, [None] * 12), (460, [float("nan")] * 12), (480, [float("inf")] * 12), (500, [0.25] * 12), (501, [0.25] * 12), (502, [0.25] * 12), (None, [1.0] * 12)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, id int")
+    want = sorted(plain_top([(i, v and [np.float32(x) if x is not None else None for x in v]) for i, v in rows], 20))
+    asks = F.col("vec_id") % 20 == 0
+    run = lambda: sorted(map(tuple, topk.top_k(frame, asks).collect()))
+    assert run() == want
+    monkeypatch.setattr(topk, "SHARD", 70)
+    monkeypatch.setattr(topk, "BLOCK", 6)
+    assert run() == want
+    assert topk.top_k(frame.limit(0), asks).count() == 0
+
+
+def test_op5_round_trip(spark):
+    big = "é" * 600
+    rows = [(1, "http://a", big), (2, "http://b\r\nx", big), (3, None, None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (9, "u", big), (9, "u", big), (None, "u", big), (None, "u", None)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
+    path = new_path(spark, "test")
+    warc.write_archive(pages, path)
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_index(spark, path).collect())
+    want = Counter()
+    for i, _, h in rows:
+        body = (h or "").encode()
+        revisit = len(body) >= 1000 and i != 9
+        want[i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None] += 1
+    assert got == want
+    for r in warc.read_archive(spark, path).collect():
+        head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
+        assert rest == (b"" if b"revisit" in head else bytes(r["payload"])) + b"\r\n\r\n"
+    assert spark.read.parquet(f"{path}/payloads").count() == 3
+    other = new_path(spark, "test")
+    warc.write_archive(pages.limit(0), other)
+    assert warc.read_index(spark, other).count() == 0
+
+
+def test_op5_detects_changed_payload(spark):
+    path = new_path(spark, "test")
+    warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), path)
+    spark.createDataFrame([(hashlib.sha256(b"text").hexdigest(), bytearray(b"else"))], "payload_sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_index(spark, path).collect()
+
+
+def test_op6_against_plain_tree(spark, small, texts):
+    rows = queries.op6_sharding(spark, small).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        body = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(body) + 16, crc32(body), "key")
+        assert r["grown_shard"] in (r["shard"], 40)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    placed = sharding.place(many)
+    per = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
+    assert set(per) == set(range(40))
+    assert max(per.values()) < 1.2 * 1000 and min(per.values()) > 0.8 * 1000
+    assert abs(placed.where("grown_shard = 40").count() - 40_000 / 41) < 150
+
+
+def test_op6_weights_confine_movement(spark):
+    tree = sharding.topology(16)
+    heavier = [[[(s, w * (3 if s == 5 else 1)) for s, w in rack] for rack in region] for region in tree]
+    key = F.col("id")
+    moved = spark.range(20_000).select(sharding.shard_of(key, tree).alias("a"), sharding.shard_of(key, heavier).alias("b")).where("a <> b").collect()
+    assert moved and all(r["b"] in range(8) for r in moved)  # the other region gains nothing
+    assert all(r["b"] == 5 for r in moved if r["a"] in range(4, 8))  # in its own rack, only the changed shard gains
+
+
+def test_op6_awkward(awkward, empty):
+    rows = sharding.place(awkward).collect()
+    assert len(rows) == 10 and all(r["size"] >= 16 and r["slot"] >= 0 for r in rows)
+    assert sharding.place(empty).count() == 0
+
+
+def test_op7_held_out():
+    field = html.trained()
+    wrong = total = 0
+    for page, truth in html.training_pages(120, seed=1234):
+        got = field.labels(html.block_features(html.blocks(page)))
+        wrong += sum(a != b for a, b in zip(got, truth, strict=True))
+        total += len(truth)
+    assert wrong / total < 0.02
+
+
+def test_op7_viterbi_is_best():
+    field = html.trained()
+    page, _ = html.training_pages(3, seed=8)[2]
+    rows = html.block_features(html.blocks(page))[:10]
+    got = field.labels(rows)
+
+    def value(labels):
+        total = field.start[labels[0]]
+        for i, (row, label) in enumerate(zip(rows, labels, strict=True)):
+            total += sum(field.weights.get(n, (0, 0))[label] for n in row) + (field.moves[labels[i - 1], label] if i else 0)
+        return total
+
+    options = [[n >> i & 1 for i in range(len(rows))] for n in range(2 ** len(rows))]
+    assert value(got) >= max(map(value, options)) - 1e-9
+
+
+def test_op7_cases(spark):
+    page = '<html><body><nav><ul><li><a href=x>Menu</a></ul></nav><article><h1>A &amp; B</h1><p>One  two\n<b>three<br><p>Four &lt;five&gt; &copy &#233;<script>var x="</p>";</script><!-- no --><p></p></article><footer>&copy; us</footer>'
+    rows = [(1, page, "c"), (2, None, "c"), (3, "", "c"), (4, "<p", "c"), (5, "<article>" + "<p>word here.</p>" * 20_000, "c"), (1, page, "c")]
+    frame = spark.createDataFrame(rows, "page_id long, html string, n_chars string")
+    got = {r["page_id"]: r["text"] for r in html.with_main_text(frame).collect()}
+    assert got[1] == "A & B\n\nOne two three\n\nFour <five> © é"
+    assert got[2] == got[3] == ""
+    assert got[5].count("word here.") == 20_000
+    assert html.with_main_text(frame.limit(0)).count() == 0
+
+
+def plain_stats(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    hit = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_op8_base_rules(spark, small, texts):
+    for r in queries.op8_quality_rules(spark, small).collect():
+        want = plain_stats(texts[r["doc_id"]])
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    for text in ("a\na\n\n \n \na", "a a a a", "x y z x y z", "\x1c \x85 \u2003 a", "a\x0bb\x0cc\rd"):
+        assert rules.base_stats(text) == plain_stats(text), text
+
+
+def test_op8_references_and_distances(docs):
+    refs = rules.references(docs)
+    by_lang = defaultdict(list)
+    for r in docs.select("lang", "text").collect():
+        by_lang[r["lang"]].append(r["text"] or "")
+    for lang, own in by_lang.items():
+        words = Counter(w.strip(b".,;:!?'\"()-") for t in own for w in t.encode().translate(rules._LOWER).split())
+        assert sum(refs[lang][1]) == sum(words.values())
+        assert refs[lang][2].sum() == sum(len(t.encode()) for t in own)
+        top = sorted(((n, w) for w, n in words.items() if w), key=lambda x: (-x[0], x[1]))[: rules.TOP_WORDS]
+        assert refs[lang][0] == [w.decode() for _, w in top]
+    p, q = np.array([1.0, 0, 1]), np.array([0.0, 2, 0])
+    assert rules.js_distance(p, q) == pytest.approx(1)
+    assert rules.js_distance(p, 3 * p) == 0
+
+
+def test_op8_keeps_clean_documents(spark, small):
+    sf = small.replace("0.001", "0.01")
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op8_quality_rules(spark, sf).collect() if r["doc_id"] in truth and not r["base_failed"]]
+    assert np.mean([r["kept"] for r in rows if truth[r["doc_id"]]]) >= 0.995
+    assert np.mean([r["kept"] for r in rows if not truth[r["doc_id"]]]) <= 0.1
+
+
+def test_op8_awkward(awkward, empty):
+    assert rules.with_rules(awkward).where("rules.kept is null").count() == 0
+    assert rules.keep_passing(awkward).columns == awkward.columns
+    assert rules.keep_passing(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    import base64
+
+    lines = (x.split() for x in open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))
+    ranks = {base64.b64decode(a): int(b) for a, b in lines}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def digest(encoding, text):
+    ids = encoding.encode_ordinary(text or "")
+    return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_op9_against_library(spark, small, texts, reference_encoding):
+    for r in queries.op9_byte_bpe(spark, small).collect():
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == digest(reference_encoding, texts[r["doc_id"]])
+
+
+def test_op9_both_ways_on_awkward(spark, awkward, empty, reference_encoding):
+    vocabulary = queries.vocabulary()
+    more = ["it's  we'll \n\n x", " lead", "trail ", "a  b   c \n d\te", "1234567 ¼ ² ٣", "\x1c\x1d \x85 \u200b\u3000x", "<|endoftext|>", "e\u0301 👩‍👩‍👧 \U0001f600"]
+    frame = awkward.select("doc_id", "text", "tokens").union(spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(more)], "doc_id long, text string, tokens string"))
+    want = Counter((r["doc_id"], *digest(reference_encoding, r["text"])) for r in frame.collect())
+    for limit in (10**9, -1):
+        rows = bpe.with_tokens(frame, vocabulary, name="found", broadcast_bytes=limit).select("doc_id", "found.*").collect()
+        assert Counter(map(tuple, rows)) == want
+    assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary).count() == 0
+    assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary, broadcast_bytes=-1).count() == 0
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode_ids(frame.where("doc_id >= 100"), vocabulary).collect()}
+    assert ids == {100 + i: reference_encoding.encode_ordinary(t) for i, t in enumerate(more)}
+
+
+def plain_targets(sizes, weights, share=1.5, limit=2.0):
+    open_, target, left = dict(sizes), {}, share * sum(sizes.values())
+    while open_:
+        unit = left / sum(weights[s] for s in open_)
+        full = [s for s, n in open_.items() if unit * weights[s] >= limit * n]
+        if not full:
+            return target | {s: unit * weights[s] for s in open_}
+        for s in full:
+            target[s] = limit * open_.pop(s)
+            left -= target[s]
+    return target
+
+
+def test_op10_targets_and_draws(spark, small):
+    sf = small.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    words = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect()}
+    rows = queries.op10_mixing(spark, sf).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(source.keys())
+    sizes, taken, target, largest = Counter(), Counter(), {}, Counter()
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert r["size"] == words[r["doc_id"]]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        sizes[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        largest[s] = max(largest[s], r["size"])
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}
+    want = plain_targets(sizes, weights)
+    for s in sizes:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - target[s]) <= largest[s]
+    again = queries.op10_mixing(spark, sf).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+@pytest.mark.parametrize("weights", [{"a": 3, "b": 1, "c": 2}, {"a": 1, "b": 1}, {"a": 3, "b": 1, "c": 2, "d": 3}])
+def test_op10_water_filling(spark, weights):
+    rng = random.Random(str(weights))
+    for _ in range(3):
+        sizes = {s: rng.choice([0, 1, 5, 50, 1000]) for s in weights}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+        want = plain_targets(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
+        assert got == pytest.approx(want)
+
+
+def test_op10_rounding_is_fair(spark):
+    """Over many seeds each document is taken about as often as its probability says."""
+    docs = spark.createDataFrame([(i, "s", "w " * (1 + i % 7)) for i in range(30)] + [(100 + i, "t", "w " * 3) for i in range(60)], "doc_id long, source string, text string")
+    totals, chance = Counter(), {}
+    for seed in range(0, 160, 20):
+        for r in mixing.draws(docs, weights=(3, 1), seed=seed).collect():
+            totals[r["doc_id"]] += r["copies"]
+            chance[r["doc_id"]] = r["target"] / r["source_size"]
+    for group in (range(30), range(100, 160)):
+        assert np.mean([totals[i] / 8 for i in group]) == pytest.approx(np.mean([chance[i] for i in group]), abs=0.15)
+
+
+def test_op10_tree_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 9)) for i in range(300)], "doc_id long, source string, text string")
+    rows = mixing.draws(docs).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(range(300))
+    by = defaultdict(lambda: [0, 0.0])
+    for r in rows:
+        by[r["target"]][0] += r["taken"]
+    assert all(abs(t[0] - target) <= 8 for target, t in by.items())
+
+
+def test_op10_awkward(awkward, empty):
+    rows = mixing.draws(awkward).collect()
+    assert len(rows) == 10 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert mixing.mixed(awkward).columns == awkward.columns
+    assert mixing.draws(empty).count() == 0
+
+
+def test_pipeline_against_stages(spark, small):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, small).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    source = docs.toPandas().set_index("doc_id")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, small)
+        assert kept.columns == docs.columns, name
+    want = Counter(r["doc_id"] for r in kept.collect())
+    assert Counter(r["doc_id"] for r in rows) == want
+    assert set(want.values()) <= {1, 2}
+    encoding_rows = {r["doc_id"]: r["decoded_sha256"] for r in rows}
+    assert all(hashlib.sha256(source.loc[i, "text"].encode()).hexdigest() == h for i, h in encoding_rows.items())
+
+
+def test_queries_import_without_data():
+    assert isinstance(pd.DataFrame(), pd.DataFrame)
+    assert len(queries.QUERIES) == 10
