@@ -3,18 +3,21 @@
 Texts are cut by the tokenizer's pattern into pieces. The distinct pieces of the
 whole table are encoded once each, by Spark higher-order functions: a fold over
 the piece's bytes merges the adjacent pair of lowest rank, leftmost first, until
-no pair has a rank. Ranks come from a literal map, laid out as an array of small
-maps so that a lookup is short. Decoding concatenates the ids' binary pieces,
-from a literal array.
+no pair has a rank. Ids are ranks, so the map from a pair of ids to the rank of
+their union holds all that the fold needs; it is a literal, laid out as a cuckoo
+hash table of two arrays. Decoding concatenates the ids' binary
+pieces, from a literal array.
 
-The table of distinct pieces then serves the texts. While it is at most
-``BROADCAST_BYTES`` it is broadcast; beyond that, texts are dealt into blocks,
-each block gets the entries that its texts hold through a join on pieces, and
-the two are co-grouped. Both ways give the same rows.
+The table of distinct pieces then serves the texts. While it has at most
+``BROADCAST_PIECES`` rows it is packed and broadcast; beyond that, texts are
+dealt into blocks, each block gets the entries that its texts hold through a
+join on pieces, and the two are co-grouped. Both ways give the same rows.
 
 Defined results: a null text is encoded as an empty one, with no ids; repeated
 rows are encoded alike; an empty table gives an empty result; other columns pass
-through ``with_tokens`` untouched.
+through ``with_tokens`` untouched. A piece of n bytes takes n folds of arrays of
+n, so a run of letters without a break costs in proportion to its square; pieces
+of 16 MB and more are refused by an error.
 """
 
 from __future__ import annotations
@@ -22,22 +25,35 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
-from zlib import crc32
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.session import small_batches, staged
 
-_SLOTS = 8192
-_NO_RANK = 2**31 - 1
-BROADCAST_BYTES = 32_000_000
+#: Pieces up to which their table is broadcast: about 25 bytes each when packed.
+BROADCAST_PIECES = 6_000_000
 #: Bytes of text that one block holds on average where the pieces can't be broadcast.
 BLOCK_BYTES = 16_000_000
+_MARKS = frozenset(".,;:!?")
+_NO_RANK, _EMPTY = 1 << 16, 1 << 60
+
+
+def _prime(least: int) -> int:
+    """The smallest prime from ``least`` on (3 at least)."""
+    n = max(3, least) | 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
 
 
 class Vocabulary:
@@ -46,73 +62,131 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
+        if sorted(self.ranks.values()) != list(range(len(self.ranks))) or len(self.ranks) > 2**16:
+            raise ValueError("ranks must number from 0 without gaps, 65,536 at most")
         self.pattern = pattern
-        slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
+        self.pieces = sorted(self.ranks, key=self.ranks.get)
+        pairs = {}
         for piece, rank in self.ranks.items():
-            key = piece.hex().upper()
-            slots[crc32(key.encode()) % _SLOTS][key] = rank
-        self._rank_json = json.dumps(slots)
-        self._piece_json = json.dumps([p.hex().upper() for p, _ in sorted(self.ranks.items(), key=lambda x: x[1])])
-        if sorted(self.ranks.values()) != list(range(len(self.ranks))):
-            raise ValueError("ranks must number from 0 without gaps")
-
-    def rank(self, key: Column) -> Column:
-        """Rank of a piece given in upper-case hex, ``_NO_RANK`` if it has none."""
-        table = F.from_json(F.lit(self._rank_json), "array<map<string,int>>")  # folded into one literal
-        slot = F.get(table, (F.crc32(key.cast("binary")) % _SLOTS).cast("int"))
-        return F.coalesce(F.try_element_at(slot, key), F.lit(_NO_RANK))
+            for i in range(1, len(piece)):
+                a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    pairs[a << 16 | b] = rank
+        self._sizes, *self._tables = self._cuckoo(pairs)
+        self._bytes = json.dumps([self.ranks[bytes([i])] for i in range(256)])
+        self._hex = json.dumps([p.hex() for p in self.pieces])
+
+    @staticmethod
+    def _cuckoo(pairs: dict[int, int]) -> tuple[tuple[int, int], str, str]:
+        """Two tables of prime sizes; a key is at key mod size in one of them, as key * 65536 + rank."""
+        first = _prime(3 * len(pairs) // 2)
+        sizes = (first, _prime(first + 1))
+        tables = [[_EMPTY] * n for n in sizes]
+        for key, rank in pairs.items():
+            entry, side = key << 16 | rank, 0
+            for _ in range(2000):
+                at = (entry >> 16) % sizes[side]
+                entry, tables[side][at] = tables[side][at], entry
+                if entry == _EMPTY:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("the pairs don't fit")
+        return sizes, json.dumps(tables[0]), json.dumps(tables[1])
+
+    def _literal(self) -> Column:
+        """The two tables and the ids of single bytes as one foldable struct."""
+        array = lambda text, kind: F.from_json(F.lit(text), f"array<{kind}>")
+        return F.struct(array(self._tables[0], "bigint").alias("one"), array(self._tables[1], "bigint").alias("two"), array(self._bytes, "bigint").alias("bytes"))
+
+    def pair_rank(self, tables: Column, a: Column, b: Column) -> Column:
+        """Rank of the union of two ids, ``_NO_RANK`` if it has none.
+
+        An entry less its own key leaves the rank; less another key, something of 2 ** 16 or more.
+        """
+
+        def look(key: Column) -> Column:
+            found = (tables[name][key % size].bitwiseXOR(key * 65536) for name, size in zip(("one", "two"), self._sizes, strict=True))
+            return F.least(*found, F.lit(_NO_RANK))
+
+        return _let(a * 65536 + b, look)
 
     def encode(self, piece: Column) -> Column:
-        """Ids of one piece (a binary column) as array<int>."""
-        whole = F.hex(piece)
-        return F.transform(F.array(self.rank(whole)), lambda r: F.when(r != _NO_RANK, F.array(r)).otherwise(self._merged(whole)))[0]
+        """Ids of one piece (a string column) as array<int>."""
+        return _let(self._literal(), lambda tables: self._encode(tables, piece))
+
+    def _encode(self, tables: Column, piece: Column) -> Column:
+        """The state is one array of longs: rank of the pair with the next part, start of the part, its id.
 
-    def _merged(self, whole: Column) -> Column:
-        count = (F.length(whole) / 2).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(whole, i * 2 + 1, F.lit(2)))
-        ranks = F.when(count < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 2, F.lit(0))), lambda i: self.rank(F.substr(whole, i * 2 + 1, F.lit(4)))))
-        kind = "struct<p:array<string>,r:array<int>>"
+        Its least element is so the leftmost pair of lowest rank.
+        """
+        by_byte = F.transform(F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), ""), lambda c: tables["bytes"][F.ascii(c)])
+        none = F.array().cast("array<bigint>")
+
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(0xFFFF))
+
+        def start(ids: Column) -> Column:
+            rank = lambda i: F.when(i < F.size(ids) - 1, self.pair_rank(tables, F.get(ids, i), F.get(ids, i + 1))).otherwise(F.lit(_NO_RANK))
+            return F.transform(ids, lambda x, i: F.shiftleft(rank(i), 40) + F.shiftleft(i.cast("bigint"), 16) + x)
 
         def step(acc: Column, _: Column) -> Column:
-            least = F.array_min(acc["r"])
-            return F.when(least.isNull() | (least == _NO_RANK), acc).otherwise(_let(F.array_position(acc["r"], least).cast("int"), lambda at: merge(acc, at)))
-
-        def merge(acc: Column, at: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-            new = F.concat(F.get(p, at - 1), F.get(p, at))
-            left = F.when(at > 1, F.array(self.rank(F.concat(F.get(p, at - 2), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(r), F.array(self.rank(F.concat(new, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            joined = F.concat(F.slice(p, 1, at - 1), F.array(new), F.slice(p, at + 2, F.size(p)))
-            ranked = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
-            return F.struct(joined.alias("p"), ranked.alias("r")).cast(kind)
-
-        start = F.struct(pieces.alias("p"), ranks.alias("r")).cast(kind)
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, step)
-        return F.transform(folded["p"], lambda x: self.rank(x))
+            return _let(F.array_min(acc), lambda least: F.when(least >= _NO_RANK << 40, acc).otherwise(_let(F.array_position(acc, least).cast("int"), lambda at: merge(acc, least, at))))
+
+        def merge(acc: Column, least: Column, at: Column) -> Column:
+            new, size = F.shiftright(least, 40), F.size(acc)
+            before, after = F.get(acc, at - 2), F.get(acc, at + 1)
+            left = F.when(at > 1, F.array(before.bitwiseAND(F.lit((1 << 40) - 1)) + F.shiftleft(self.pair_rank(tables, id_of(before), new), 40))).otherwise(none)
+            rank = F.when(at + 1 < size, self.pair_rank(tables, new, id_of(after))).otherwise(F.lit(_NO_RANK))
+            joined = F.shiftleft(rank, 40) + least.bitwiseAND(F.lit(0xFFFFFF0000)) + new
+            return F.concat(F.slice(acc, 1, F.greatest(at - 2, F.lit(0))), left, F.array(joined), F.slice(acc, at + 2, size))
+
+        def folded(state: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(state) - 1, F.lit(1))), state, step)
+
+        return F.transform(_let(_let(by_byte, start), folded), lambda x: id_of(x).cast("int"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array<int> of ids."""
-        table = F.from_json(F.lit(self._piece_json), "array<string>")
+        table = F.from_json(F.lit(self._hex), "array<string>")
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of ``value``, evaluated once."""
     return F.transform(F.array(value), body)[0]
 
 
-def _units(text: str, cut: regex.Pattern, gap: regex.Pattern) -> list[str]:
-    """The text in units that the pattern cuts apart whatever surrounds them.
+class _Cutter:
+    """Cuts texts into units that the pattern never joins: a space before a non-space opens a piece.
 
-    A space before a non-space always opens a piece, so a text whose spaces are all such is cut at
-    them; any other is cut by the pattern itself.
+    A unit stands for itself after a space, but the first of a text for itself alone (marked by a
+    leading NUL-space, which no split at spaces yields). A text that holds a space before white space
+    or at its end is cut by the pattern alone, into pieces marked so.
     """
-    if not text:
-        return []
-    if gap.search(text):
-        return cut.findall(text)
-    first, *rest = text.split(" ")
-    units = [" " + x for x in rest]
-    return [first, *units] if first else units
+
+    def __init__(self, pattern: str):
+        self.cut = regex.compile(pattern)
+        self.gap = re.compile(r" (?:\s|\Z)")  # blanks by Python's rule are a superset of the pattern's
+
+    def units(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.gap.search(text):
+            return ["\0 " + x for x in self.cut.findall(text)]
+        found = text.split(" ")
+        if found[0]:
+            found[0] = "\0 " + found[0]
+        else:
+            del found[0]
+        return found
+
+    def pieces(self, unit: str) -> list[str]:
+        if unit.isalpha():  # letters alone, or with one mark: the pattern's commonest cases
+            return [" " + unit]
+        if unit[-1:] in _MARKS and unit[:-1].isalpha():
+            return [" " + unit[:-1], unit[-1]]
+        return self.cut.findall(unit[2:] if unit[:2] == "\0 " else " " + unit)
 
 
 def distinct_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", block: Column | None = None) -> DataFrame:
@@ -121,18 +195,31 @@ def distinct_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
     pattern = vocabulary.pattern
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_pattern, gap = regex.compile(pattern), regex.compile(r" (?!\S)")
-        seen: dict[int, set] = {}
+        cutter = _Cutter(pattern)
+        known: dict[int, set] = {}
+        sent: dict[int, set] = {}
         for batch in batches:
-            new: set = set()
-            for b, value in zip(batch["block"], batch["text"], strict=True):
-                known = seen.setdefault(b, set())
-                fresh = set(_units(value or "", by_pattern, gap)) - known
-                known |= fresh
-                new.update((b, piece) for unit in fresh for piece in by_pattern.findall(unit))
-            if sum(map(len, seen.values())) > 400_000:
-                seen.clear()
-            yield pd.DataFrame(sorted(new), columns=["block", "piece"])
+            blocks: list[int] = []
+            out: list[str] = []
+            for b, texts in batch.groupby("block", sort=False)["text"]:
+                fresh: set = set()
+                seen, gone = known.setdefault(b, set()), sent.setdefault(b, set())
+                for value in texts:
+                    fresh.update(cutter.units(value or ""))
+                fresh -= seen
+                seen |= fresh
+                new: set = set()
+                for unit in fresh:
+                    new.update(cutter.pieces(unit))
+                new -= gone
+                gone |= new
+                out += new
+                blocks += [b] * len(new)
+            if sum(map(len, known.values())) > 800_000:
+                known.clear()
+            if sum(map(len, sent.values())) > 800_000:
+                sent.clear()
+            yield pd.DataFrame({"block": pd.Series(blocks, dtype="int32"), "piece": pd.Series(out, dtype="object")})
 
     at = F.lit(0) if block is None else block
     found = docs.select(at.cast("int").alias("block"), F.col(text).alias("text")).mapInPandas(cut, "block int, piece string")
@@ -140,73 +227,127 @@ def distinct_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
 
 
 def piece_table(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """piece, ids, bytes (the ids decoded) for each distinct piece, staged."""
-    # spread evenly: the fold's cost is in few, small rows
-    spread = pieces.repartition(F.col("piece"))
-    encoded = spread.select("piece", vocabulary.encode(F.col("piece").cast("binary")).alias("ids"))
-    return staged(staged(encoded, "ids").select("piece", "ids", vocabulary.decode(F.col("ids")).alias("bytes")), "pieces")
+    """piece, ids for each distinct piece, staged."""
+    return staged(pieces.select("piece", vocabulary.encode(F.col("piece")).alias("ids")), "pieces")
 
 
 _OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digest(texts: Iterator[str | None], table: dict[str, tuple[bytes, bytes]], cut: regex.Pattern, gap: regex.Pattern, memo: dict) -> list[tuple[int, str, str]]:
-    rows = []
-    for value in texts:
-        if len(memo) > 100_000:
+class _Packed:
+    """Ids of pieces, found by the pieces' 64-bit hashes, which must differ."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        if len(hashes) > 1 and (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.starts, self.sizes, self.data = (ends - sizes)[order].astype(np.uint32), sizes[order].astype(np.uint32), ids.tobytes()
+
+    @staticmethod
+    def hash(piece: str) -> int:
+        return xxhash.xxh64_intdigest(piece.encode(), 42)
+
+    def get(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian 16-bit ids of each piece."""
+        digest = xxhash.xxh64_intdigest
+        wanted = np.array([digest(p.encode(), 42) for p in pieces], dtype=np.uint64)
+        order = np.argsort(wanted)  # sorted needles stay near each other in a large table
+        at = np.empty(len(wanted), dtype=np.int64)
+        at[order] = np.searchsorted(self.hashes, wanted[order])
+        if (at >= len(self.hashes)).any() or (self.hashes[at] != wanted).any():
+            raise KeyError("a piece is missing from the table")
+        starts = 2 * self.starts[at].astype(np.int64)
+        return [self.data[a:b] for a, b in zip(starts.tolist(), (starts + 2 * self.sizes[at]).tolist(), strict=True)]
+
+
+#: Units whose ids a worker keeps, and characters of text that it looks up at a time.
+_MEMO, _GROUP = 400_000, 200_000
+
+
+def _digest(texts: Iterator[str | None], table: _Packed, cutter: _Cutter, pieces: list[bytes], memo: dict[str, bytes]) -> list[tuple[int, str, str]]:
+    """(n_tokens, SHA-256 of ids, SHA-256 of what they decode to) of each text."""
+    rows: list[tuple[int, str, str]] = []
+    group: list[list[str]] = []
+    size = 0
+
+    def finish() -> None:
+        if len(memo) > _MEMO:
             memo.clear()
-        ids, data = hashlib.sha256(), hashlib.sha256()
-        n = 0
-        units = _units(value or "", cut, gap)
-        for start in range(0, len(units), 8192):
-            part = units[start : start + 8192]
-            for unit in set(part).difference(memo):
-                entries = [table[piece] for piece in cut.findall(unit)]
-                memo[unit] = (b"".join(e[0] for e in entries), b"".join(e[1] for e in entries))
-            pairs = [memo[unit] for unit in part]
-            block = b"".join([x[0] for x in pairs])
-            n += len(block) // 4
-            ids.update(block)
-            data.update(b"".join([x[1] for x in pairs]))
-        rows.append((n, ids.hexdigest(), data.hexdigest()))
+        fresh = list(set().union(*group).difference(memo))
+        cut = [cutter.pieces(u) for u in fresh]
+        flat = iter(table.get([p for own in cut for p in own]))
+        for unit, own in zip(fresh, cut, strict=True):
+            memo[unit] = next(flat) if len(own) == 1 else b"".join([next(flat) for _ in own])
+        for units in group:
+            ids, data, n = hashlib.sha256(), hashlib.sha256(), 0
+            for start in range(0, len(units), 65536):
+                block = np.frombuffer(b"".join([memo[u] for u in units[start : start + 65536]]), dtype="<u2")
+                n += len(block)
+                ids.update(block.astype("<u4").tobytes())
+                data.update(b"".join([pieces[i] for i in block.tolist()]))
+            rows.append((n, ids.hexdigest(), data.hexdigest()))
+        group.clear()
+
+    for value in texts:
+        group.append(cutter.units(value or ""))
+        size += len(value or "")
+        if size > _GROUP:
+            finish()
+            size = 0
+    finish()
     return rows
 
 
-def _table(frame: pd.DataFrame) -> dict[str, tuple[bytes, bytes]]:
-    return {p: (b"".join(int(i).to_bytes(4, "little") for i in ids), bytes(d)) for p, ids, d in zip(frame["piece"], frame["ids"], frame["bytes"], strict=True)}
+def _packed(pieces: DataFrame) -> _Packed:
+    """The whole table, gathered on the driver; for tables within ``BROADCAST_PIECES`` only."""
+    two_bytes = F.transform("ids", lambda i: F.substr(F.hex(i.cast("long") + 65536), F.lit(2)))
+    rows = pieces.select(F.xxhash64("piece").alias("h"), F.unhex(F.array_join(two_bytes, "")).alias("ids"))
+    frame = rows.toArrow()
+    sizes = pc.binary_length(frame["ids"]).to_numpy() // 2
+    flat = np.concatenate([_bytes_of(chunk) for chunk in frame["ids"].chunks] or [np.zeros(0, np.uint8)])
+    return _Packed(frame["h"].to_numpy().view(np.uint64), sizes, flat.view(">u2").astype("<u2"))
+
 
+def _bytes_of(chunk: pa.Array) -> np.ndarray:
+    """The bytes of a binary array, one after another."""
+    _, offsets, data = chunk.buffers()
+    kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+    ends = np.frombuffer(offsets, dtype=kind)[chunk.offset : chunk.offset + len(chunk) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if len(chunk) else np.zeros(0, np.uint8)
 
-def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "tokens", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+
+def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "tokens", broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
     """``docs`` with a struct ``name``: n_tokens, SHA-256 of the ids as little-endian 32-bit integers, SHA-256 of the bytes that they decode to."""
-    spark = docs.sparkSession
-    pieces = piece_table(distinct_pieces(docs, vocabulary, text), vocabulary)
-    pattern = vocabulary.pattern
-    size = pieces.agg(F.sum(F.octet_length("piece") * 2 + F.size("ids") * 4)).first()[0] or 0
-    if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(_table(pieces.toPandas()))
-        memo: dict = {}
+    context = docs.sparkSession.sparkContext
+    table = piece_table(distinct_pieces(docs, vocabulary, text), vocabulary)
+    pattern, binary = vocabulary.pattern, vocabulary.pieces
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    if table.count() <= broadcast_pieces:
+        shared = context.broadcast(_packed(table))
+        memo: dict[str, bytes] = {}
 
         def encode(texts: pd.Series) -> pd.DataFrame:
-            cut, gap = regex.compile(pattern), regex.compile(r" (?!\S)")
-            return pd.DataFrame(_digest(iter(texts), shared.value, cut, gap, memo), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            return pd.DataFrame(_digest(iter(texts), shared.value, _Cutter(pattern), binary, memo), columns=columns)
 
         return docs.withColumn(name, F.pandas_udf(encode, _OUT)(F.col(text)))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     block = F.pmod(F.xxhash64(*docs.columns), F.lit(n_blocks)).cast("int")  # of all columns, to part copies under other ids
-    held = distinct_pieces(docs, vocabulary, text, block).join(pieces, "piece")
-    keyed = docs.withColumn("_quill_block", block)
-    columns = docs.columns
+    held = distinct_pieces(docs, vocabulary, text, block).join(table, "piece")
+    own = docs.columns
 
     def join_block(texts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        cut, gap = regex.compile(pattern), regex.compile(r" (?!\S)")
-        out = texts[columns].copy()
-        rows = _digest(iter(texts[text]), _table(entries), cut, gap, {})
-        out[name] = [dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), row, strict=True)) for row in rows]
+        hashes = np.array([_Packed.hash(p) for p in entries["piece"]], dtype=np.uint64)
+        sizes = np.array([len(x) for x in entries["ids"]], dtype=np.int64)
+        flat = np.concatenate([np.asarray(x, dtype="<u2") for x in entries["ids"]]) if len(entries) else np.zeros(0, dtype="<u2")
+        out = texts[own].copy()
+        out[name] = [dict(zip(columns, row, strict=True)) for row in _digest(iter(texts[text]), _Packed(hashes, sizes, flat), _Cutter(pattern), binary, {})]
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` struct<{_OUT.replace(' long', ':bigint').replace(' string', ':string')}>"
-    return keyed.groupBy("_quill_block").cogroup(held.groupBy("block")).applyInPandas(join_block, schema)
+    return docs.withColumn("_quill_block", block).groupBy("_quill_block").cogroup(held.groupBy("block")).applyInPandas(join_block, schema)
 
 
 def encode_ids(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -400,10 +400,10 @@ def test_op9_both_ways_on_awkward(spark, awkward, empty, reference_encoding):
     frame = awkward.select("doc_id", "text", "tokens").union(spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(more)], "doc_id long, text string, tokens string"))
     want = Counter((r["doc_id"], *digest(reference_encoding, r["text"])) for r in frame.collect())
     for limit in (10**9, -1):
-        rows = bpe.with_tokens(frame, vocabulary, name="found", broadcast_bytes=limit).select("doc_id", "found.*").collect()
+        rows = bpe.with_tokens(frame, vocabulary, name="found", broadcast_pieces=limit).select("doc_id", "found.*").collect()
         assert Counter(map(tuple, rows)) == want
     assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary).count() == 0
-    assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary, broadcast_bytes=-1).count() == 0
+    assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary, broadcast_pieces=-1).count() == 0
     ids = {r["doc_id"]: r["ids"] for r in bpe.encode_ids(frame.where("doc_id >= 100"), vocabulary).collect()}
     assert ids == {100 + i: reference_encoding.encode_ordinary(t) for i, t in enumerate(more)}
 
