@@ -5,9 +5,9 @@ and a shard is one group, whose rows are bounded by ``BLOCK`` and ``SHARD``. In
 a group a query's dimensions are its terms. A term's score bound in the shard is
 its best product less its worst. Terms are split by these bounds: those whose
 bounds together can't lift a vector over the k-th score so far are
-non-essential. Essential postings (columns) are traversed for all vectors;
-non-essential ones are probed, in descending bound, for vectors still
-competitive. The shards' lists are then merged.
+non-essential. Essential postings (columns) are traversed for all vectors, for
+some queries together; non-essential ones are probed, in descending bound, for
+vectors still competitive. The shards' lists are then merged.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
 take no part, as queries or candidates; vectors of different lengths meet in
@@ -35,58 +35,72 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x @ y for integers: by floating point where that is exact, else by Python integers."""
-    bound = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1])
-    if bound < 2**24:
-        return (x.astype(np.float32) @ y.astype(np.float32)).astype(np.int64)
-    if bound < 2**53:
-        return (x.astype(np.float64) @ y.astype(np.float64)).astype(np.int64)
-    out = x.astype(object) @ y.astype(object)
-    return np.array([int(v) for v in out], dtype=np.int64)  # beyond 64 bits this raises
+def _kind(rows: np.ndarray, queries: np.ndarray) -> type:
+    """A number type in which all inner products of these integers are exact."""
+    bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
+
+
+#: Queries whose essential terms are traversed together, and the share of the threshold's height that the
+#: non-essential terms may span: the less, the fewer vectors are probed.
+TOGETHER, SPAN = 64, 0.25
 
 
 class Shard:
-    """Columns of one shard as postings, with each one's least and greatest value."""
+    """Vectors of one shard in order of id, with each term's least and greatest value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], vectors[order]
         self.low, self.high = self.rows.min(0), self.rows.max(0)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the query's k best, ties to smaller ids; rows with the id ``own`` are left out."""
-        n = len(self.ids)
-        a, b = query * self.low, query * self.high
-        worst, bound = np.minimum(a, b), np.abs(b - a)
-        terms = np.argsort(-bound, kind="stable")
-        rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # rest[i]: what terms i.. can add over their worst
-        base = int(worst.sum())
-        seed = min(n, max(4 * k, 256))  # a first threshold from a few whole scores
-        scores = _exact(self.rows[:seed], query)
-        scores = scores[self.ids[:seed] != own]
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
-        # essential terms: up to where the rest alone can't reach the threshold
-        essential = len(terms) if least is None else int(np.searchsorted(-rest, -(int(least) - base), side="left"))
-        essential = min(max(essential, min(8, len(terms))), len(terms))
-        used = terms[:essential]
-        alive = np.flatnonzero(self.ids != own)
-        part = _exact(self.rows[:, used], query[used])[alive] - int(worst[used].sum())
-        at = essential
-        while at < len(terms):
-            if least is not None:
-                can = part + base + rest[at] >= least
-                alive, part = alive[can], part[can]
-            step = terms[at : at + 8]
-            part = part + _exact(self.rows[np.ix_(alive, step)], query[step]) - int(worst[step].sum())
-            at += 8
-        scores = part + base
-        if len(scores) > 4 * k:
-            edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= edge
-            alive, scores = alive[keep], scores[keep]
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int):  # noqa: ANN201
+        """For each query (ids, scores) of its k best, ties to smaller ids; rows with the query's ``own`` id are left out."""
+        kind = _kind(self.rows, queries)
+        rows = self.rows.astype(kind)
+        seeds = rows[:: max(1, len(rows) // 2048)]
+        seed_ids = self.ids[:: max(1, len(rows) // 2048)]
+        for start in range(0, len(queries), TOGETHER):
+            some = queries[start : start + TOGETHER].astype(kind)
+            a, b = some * self.low.astype(kind), some * self.high.astype(kind)
+            worst, bound = np.minimum(a, b), np.abs(b - a)
+            terms = np.argsort(-bound, axis=1, kind="stable")
+            first = seeds @ some.T  # whole scores of a few vectors set the first thresholds
+            masked = np.zeros_like(some)
+            plans = []
+            for j, query in enumerate(some):
+                base = worst[j].sum()
+                known = first[seed_ids != own[start + j], j]
+                least = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
+                rest = np.append(np.cumsum(bound[j][terms[j]][::-1])[::-1], 0)  # rest[i]: what terms i.. add at most over their worst
+                # essential terms: all but a tail that can't lift a vector from its worst to the threshold
+                essential = len(query) if least is None else int(np.argmax(rest <= max(0, (least - base) * SPAN)))
+                used = terms[j][:essential]
+                masked[j, used] = query[used]
+                plans.append((least, essential, rest))
+            partial = rows @ masked.T
+            for j, (least, at, rest) in enumerate(plans):
+                query, order = some[j], terms[j]
+                part, alive = partial[:, j], None
+                while True:
+                    if least is not None:  # still competitive if the terms left could reach the threshold
+                        tail = order[at:]
+                        can = np.flatnonzero(part + (worst[j][tail].sum() + rest[at]) >= least)
+                        alive, part = can if alive is None else alive[can], part[can]
+                    elif alive is None:
+                        alive = np.arange(len(part))
+                    if at >= len(order):
+                        break
+                    step = order[at : at + max(8, (len(order) - at) // 2)]
+                    part = part + rows[np.ix_(alive, step)] @ query[step]
+                    at += len(step)
+                keep = self.ids[alive] != own[start + j]
+                alive, part = alive[keep], part[keep]
+                if len(part) > 4 * k:
+                    near = part >= np.partition(part, len(part) - k)[len(part) - k]
+                    alive, part = alive[near], part[near]
+                best = np.lexsort((self.ids[alive], -part))[:k]
+                yield self.ids[alive][best], np.array([int(x) for x in part[best]], dtype=np.int64)  # beyond 64 bits this raises
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -109,10 +123,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         out = []
         if asks.any() and not asks.all():
             shard = Shard(ids[~asks], mat[~asks])
-            for query, own in zip(mat[asks], ids[asks], strict=True):
-                found, scores = shard.search(query, own, k)
-                out.append(pd.DataFrame({"query_id": own, "id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+            for own, (found, scores) in zip(ids[asks], shard.search(mat[asks], ids[asks], k), strict=True):
+                out.append((np.full(len(found), own), found, scores))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "id", "score"), columns, strict=True)))
 
     lists = candidates.union(queries).groupBy("shard", "block").applyInPandas(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
