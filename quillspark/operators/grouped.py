@@ -1,0 +1,171 @@
+"""Order-dependent algorithms on bounded groups (the boxes of one image), by grouped pandas functions."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from quillspark.functions.udfs import convex_iou
+
+
+def single_linkage(vectors: list, threshold: float) -> list[int]:
+    """O-155: component number of each vector, linked at Euclidean distance ``threshold`` or less, in order of first member."""
+    root = list(range(len(vectors)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    mat = np.array([list(v) for v in vectors], dtype=float).reshape(len(vectors), -1)
+    for i in range(len(mat)):
+        for j in np.flatnonzero(np.sqrt(((mat[i + 1 :] - mat[i]) ** 2).sum(1)) <= threshold) + i + 1:
+            a, b = sorted((find(i), find(int(j))))
+            root[b] = a
+    names: dict[int, int] = {}
+    return [names.setdefault(find(i), len(names)) for i in range(len(mat))]
+
+
+def cluster_embeddings(df: DataFrame, image: str, key: str, vector: str, threshold: float = 0.5) -> DataFrame:
+    """O-155 within each image."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        return pd.DataFrame({image: group[image], key: group[key], "cluster": single_linkage(list(group[vector]), threshold)})
+
+    return df.select(image, key, vector).groupBy(image).applyInPandas(run, f"{image} long, {key} long, cluster long")
+
+
+def row_clusters(boxes: list[tuple[float, float, float, float]]) -> list[int]:
+    """O-153: row number of each box. In order of centre height, a box joins the row whose median centre is nearest,
+    if within 0.65 of the larger of its own height and the row's median height; rows are numbered downwards."""
+    rows: list[list[int]] = []
+    mid = [(b[1] + b[3]) / 2 for b in boxes]
+    tall = [b[3] - b[1] for b in boxes]
+    for i in sorted(range(len(boxes)), key=lambda i: mid[i]):
+        near = [(abs(mid[i] - float(np.median([mid[k] for k in row]))), n) for n, row in enumerate(rows)]
+        near = [(d, n) for d, n in near if d <= 0.65 * max(tall[i], float(np.median([tall[k] for k in rows[n]])))]
+        if near:
+            rows[min(near)[1]].append(i)
+        else:
+            rows.append([i])
+    out = [0] * len(boxes)
+    for n, row in enumerate(sorted(rows, key=lambda row: float(np.median([mid[k] for k in row])))):
+        for i in row:
+            out[i] = n
+    return out
+
+
+def cluster_rows(df: DataFrame, image: str, key: str, box: str) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        return pd.DataFrame({image: group[image], key: group[key], "row_no": row_clusters([tuple(b) for b in group[box]])})
+
+    return df.select(image, key, box).groupBy(image).applyInPandas(run, f"{image} long, {key} long, row_no long")
+
+
+def align_headers(items: list[tuple[str, tuple[float, float, float, float]]]) -> list[tuple[int, int, str, str]]:
+    """O-154: (row, day, name, text) cells. The header is the row with most day numbers, then most steps of one; a day seen
+    twice keeps its last place; missing days 1 to 31 are placed from the nearest placed one by the median spacing; an
+    item takes the nearest day within 0.55 of the spacing; what lies left of the first day names the row, rightmost wins."""
+    import re
+
+    rows: dict[int, list[int]] = {}
+    for i, n in enumerate(row_clusters([b for _, b in items])):
+        rows.setdefault(n, []).append(i)
+    centre = [(b[0] + b[2]) / 2 for _, b in items]
+    is_day = re.compile(r"^(?:[1-9]|[12][0-9]|3[01])$")
+
+    def rating(row: list[int]) -> tuple[int, float]:
+        days = sorted({int(items[i][0]) for i in row if is_day.match(items[i][0])})
+        gaps = [b - a for a, b in zip(days, days[1:], strict=False)]
+        return len(days), sum(g == 1 for g in gaps) / max(1, len(gaps))
+
+    if not rows:
+        return []
+    head = max(rows, key=lambda n: (*rating(rows[n]), -n))
+    place = {int(items[i][0]): centre[i] for i in sorted(rows[head], key=lambda i: centre[i]) if is_day.match(items[i][0])}
+    if len(place) < 2:
+        return []
+    known = sorted(place)
+    spacing = float(np.median([(place[b] - place[a]) / (b - a) for a, b in zip(known, known[1:], strict=False)]))
+    for day in range(1, 32):
+        if day not in place:
+            anchor = min(place, key=lambda d: (abs(d - day), d))
+            place[day] = place[anchor] + (day - anchor) * spacing
+    first = min(place[d] for d in known) - 0.55 * spacing
+    out = []
+    for n, row in rows.items():
+        if n <= head:
+            continue
+        left = [i for i in row if centre[i] < first]
+        name = items[max(left, key=lambda i: centre[i])][0] if left else ""
+        for i in row:
+            day = min(place, key=lambda d: (abs(place[d] - centre[i]), d))
+            if i not in left and abs(place[day] - centre[i]) <= 0.55 * abs(spacing):
+                out.append((n, day, name, items[i][0]))
+    return sorted(out)
+
+
+def topology_bands(intervals: list[tuple[float, float]]) -> list[int]:
+    """O-152: band number of each interval, from 1. Distinct intervals (to 6 places) in order of (centre, extent, low)
+    join the nearest compatible band: extents alike to 0.67, and 0.60 of the smaller extent common to all; the base
+    extent is the upper median, and centres may spread by half of it."""
+    rounded = [(round(a, 6), round(b, 6)) for a, b in intervals]
+    distinct = sorted(set(rounded), key=lambda x: ((x[0] + x[1]) / 2, x[1] - x[0], x[0]))
+    extents = sorted(b - a for a, b in distinct)
+    base = extents[len(extents) // 2] if extents else 0.0
+    bands: list[list[tuple[float, float]]] = []
+    for x in distinct:
+        mid, extent = (x[0] + x[1]) / 2, x[1] - x[0]
+        fits = []
+        for n, band in enumerate(bands):
+            sizes = [b - a for a, b in [*band, x]]
+            common = min(b for _, b in [*band, x]) - max(a for a, _ in [*band, x])
+            mids = [(a + b) / 2 for a, b in band]
+            if min(sizes) >= 0.67 * max(sizes) and common >= 0.60 * min(sizes) and max([*mids, mid]) - min([*mids, mid]) <= 0.5 * base:
+                fits.append((abs(mid - sum(mids) / len(mids)), n))
+        if fits and extent > 0:
+            bands[min(fits)[1]].append(x)
+        else:
+            bands.append([x])
+    bands.sort(key=lambda band: sum(a + b for a, b in band) / len(band))
+    number = {x: n + 1 for n, band in enumerate(bands) for x in band}
+    return [number[x] for x in rounded]
+
+
+def greedy_match(found: list, expected: list, least: float = 0.5) -> list[tuple[int, int, float]]:
+    """O-56j: one-to-one (found, expected, IoU): pairs of IoU ``least`` or more, taken in descending (IoU, found, expected)."""
+    box = lambda p: (min(x[0] for x in p), min(x[1] for x in p), max(x[0] for x in p), max(x[1] for x in p))
+    a, b = [box(p) for p in found], [box(p) for p in expected]
+    pairs = []
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            if p[0] < q[2] and q[0] < p[2] and p[1] < q[3] and q[1] < p[3]:  # bounds first, exact area only for those
+                iou = convex_iou(found[i], expected[j])
+                if iou >= least:
+                    pairs.append((iou, i, j))
+    used_a, used_b, out = set(), set(), []
+    for iou, i, j in sorted(pairs, reverse=True):
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            out.append((i, j, iou))
+    return sorted(out)
+
+
+def match_quads(found: DataFrame, expected: DataFrame, image: str, key: str, quad: str, least: float = 0.5) -> DataFrame:
+    """O-56j per image: co-grouped, so each image's boxes meet only each other."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("k"), b.sort_values("k2")
+        pairs = greedy_match([[list(x) for x in p] for p in a["q"]], [[list(x) for x in p] for p in b["q2"]], least)
+        group = a["g"].iloc[0] if len(a) else b["g2"].iloc[0]
+        return pd.DataFrame([(group, a["k"].iloc[i], b["k2"].iloc[j], round(iou, 9)) for i, j, iou in pairs], columns=[image, "found", "expected", "iou"])
+
+    # own names on either side, which may come from one table
+    left = found.selectExpr(f"{image} AS g", f"{key} AS k", f"{quad} AS q")
+    right = expected.selectExpr(f"{image} AS g2", f"{key} AS k2", f"{quad} AS q2")
+    return left.groupBy("g").cogroup(right.groupBy("g2")).applyInPandas(run, f"{image} long, found long, expected long, iou double")

@@ -1,5 +1,7 @@
 """The registry of named queries."""
 
-FLAGSHIP = None
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillspark.plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = QUERIES["cell_evaluation"]
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
