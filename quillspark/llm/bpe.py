@@ -23,6 +23,8 @@ of 16 MB and more are refused by an error.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import json
 import re
@@ -152,6 +154,16 @@ class Vocabulary:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """No cyclic garbage collection meanwhile: many small lists would be scanned again and again, and none form cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _let(value: Column, body) -> Column:  # noqa: ANN001
     """``body`` of ``value``, evaluated once."""
     return F.transform(F.array(value), body)[0]
@@ -201,20 +213,21 @@ def distinct_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
         for batch in batches:
             blocks: list[int] = []
             out: list[str] = []
-            for b, texts in batch.groupby("block", sort=False)["text"]:
-                fresh: set = set()
-                seen, gone = known.setdefault(b, set()), sent.setdefault(b, set())
-                for value in texts:
-                    fresh.update(cutter.units(value or ""))
-                fresh -= seen
-                seen |= fresh
-                new: set = set()
-                for unit in fresh:
-                    new.update(cutter.pieces(unit))
-                new -= gone
-                gone |= new
-                out += new
-                blocks += [b] * len(new)
+            with _uncollected():
+                for b, texts in batch.groupby("block", sort=False)["text"]:
+                    fresh: set = set()
+                    seen, gone = known.setdefault(b, set()), sent.setdefault(b, set())
+                    for value in texts:
+                        fresh.update(cutter.units(value or ""))
+                    fresh -= seen
+                    seen |= fresh
+                    new: set = set()
+                    for unit in fresh:
+                        new.update(cutter.pieces(unit))
+                    new -= gone
+                    gone |= new
+                    out += new
+                    blocks += [b] * len(new)
             if sum(map(len, known.values())) > 800_000:
                 known.clear()
             if sum(map(len, sent.values())) > 800_000:
@@ -275,18 +288,26 @@ def _digest(texts: Iterator[str | None], table: _Packed, cutter: _Cutter, pieces
     def finish() -> None:
         if len(memo) > _MEMO:
             memo.clear()
-        fresh = list(set().union(*group).difference(memo))
-        cut = [cutter.pieces(u) for u in fresh]
-        flat = iter(table.get([p for own in cut for p in own]))
-        for unit, own in zip(fresh, cut, strict=True):
-            memo[unit] = next(flat) if len(own) == 1 else b"".join([next(flat) for _ in own])
-        for units in group:
+        looked = [list(map(memo.get, units)) for units in group]
+        gaps = [[i for i, x in enumerate(found) if x is None] for found in looked]
+        fresh = list({units[i] for units, own in zip(group, gaps, strict=True) for i in own})
+        counts, flat = [], []
+        for unit in fresh:
+            own = cutter.pieces(unit)
+            counts.append(len(own))
+            flat += own
+        coded = iter(table.get(flat))
+        for unit, n in zip(fresh, counts, strict=True):
+            memo[unit] = next(coded) if n == 1 else b"".join([next(coded) for _ in range(n)])
+        for units, found, own in zip(group, looked, gaps, strict=True):
+            for i in own:
+                found[i] = memo[units[i]]
             ids, data, n = hashlib.sha256(), hashlib.sha256(), 0
-            for start in range(0, len(units), 65536):
-                block = np.frombuffer(b"".join([memo[u] for u in units[start : start + 65536]]), dtype="<u2")
+            for start in range(0, len(found), 65536):
+                block = np.frombuffer(b"".join(found[start : start + 65536]), dtype="<u2")
                 n += len(block)
                 ids.update(block.astype("<u4").tobytes())
-                data.update(b"".join([pieces[i] for i in block.tolist()]))
+                data.update(b"".join(list(map(pieces.__getitem__, block.tolist()))))
             rows.append((n, ids.hexdigest(), data.hexdigest()))
         group.clear()
 
@@ -307,7 +328,9 @@ def _packed(pieces: DataFrame) -> _Packed:
     frame = rows.toArrow()
     sizes = pc.binary_length(frame["ids"]).to_numpy() // 2
     flat = np.concatenate([_bytes_of(chunk) for chunk in frame["ids"].chunks] or [np.zeros(0, np.uint8)])
-    return _Packed(frame["h"].to_numpy().view(np.uint64), sizes, flat.view(">u2").astype("<u2"))
+    hashes = frame["h"].to_numpy().view(np.uint64)
+    del frame, rows
+    return _Packed(hashes, sizes, flat.view(">u2").astype("<u2"))
 
 
 def _bytes_of(chunk: pa.Array) -> np.ndarray:
@@ -321,6 +344,8 @@ def _bytes_of(chunk: pa.Array) -> np.ndarray:
 def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "tokens", broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
     """``docs`` with a struct ``name``: n_tokens, SHA-256 of the ids as little-endian 32-bit integers, SHA-256 of the bytes that they decode to."""
     context = docs.sparkSession.sparkContext
+    # the literals would otherwise stand whole in each plan's description, which the driver keeps
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
     table = piece_table(distinct_pieces(docs, vocabulary, text), vocabulary)
     pattern, binary = vocabulary.pattern, vocabulary.pieces
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"]
@@ -329,7 +354,8 @@ def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", nam
         memo: dict[str, bytes] = {}
 
         def encode(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(_digest(iter(texts), shared.value, _Cutter(pattern), binary, memo), columns=columns)
+            with _uncollected():
+                return pd.DataFrame(_digest(iter(texts), shared.value, _Cutter(pattern), binary, memo), columns=columns)
 
         return docs.withColumn(name, F.pandas_udf(encode, _OUT)(F.col(text)))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

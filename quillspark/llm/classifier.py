@@ -116,12 +116,19 @@ def features(text: str | None) -> dict[int, float]:
     return out
 
 
-def fit_scorer(rows: list[tuple[dict[int, float], float]], prior: float, steps: int = 300, ridge: float = 1e-5) -> np.ndarray:
+def packed_features(text: str | None) -> bytes:
+    """``features`` as 16-bit slots followed by 32-bit shares."""
+    found = features(text)
+    return np.fromiter(found, dtype="<u2", count=len(found)).tobytes() + np.fromiter(found.values(), dtype="<f4", count=len(found)).tobytes()
+
+
+def fit_scorer(rows: list[tuple[bytes, float]], prior: float, steps: int = 300, ridge: float = 1e-5) -> np.ndarray:
     """Logistic weights for soft labels, by full-batch Adam; the bias, last, stays at the prior's log odds."""
     bias = float(np.log(prior / (1 - prior)))
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
     for i, (found, _) in enumerate(rows):
-        x[i, list(found)] = list(found.values())
+        n = len(found) // 6
+        x[i, np.frombuffer(found, dtype="<u2", count=n)] = np.frombuffer(found, dtype="<f4", count=n, offset=2 * n)
     y = np.array([label for _, label in rows], dtype=np.float32)
     w, m, v = (np.zeros(DIMS, dtype=np.float32) for _ in range(3))
     for step in range(1, steps + 1 if rows else 0):
@@ -159,11 +166,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train_rows:
     posterior, table, prior = fit_accuracies(patterns)
     total = sum(patterns.values())
     limit = (1 << 30) if total <= train_rows else int((1 << 30) * train_rows / total)
-    pack = F.pandas_udf(lambda s: pd.Series([features(x) for x in s]), "map<int,float>")
+    pack = F.pandas_udf(lambda s: pd.Series([packed_features(x) for x in s], dtype="object"), "binary")
     again = F.pandas_udf(lambda s: pd.Series([votes(x) for x in s], dtype="int32"), "int")
     sample = docs.select(rank, F.col(text).alias("text")).where(F.col("rank") < limit)
     rows = sample.select(pack("text").alias("x"), again("text").alias("votes")).limit(2 * train_rows).collect()
-    return fit_scorer([(r["x"], posterior.get(r["votes"], prior)) for r in rows], prior), table, prior
+    return fit_scorer([(bytes(r["x"]), posterior.get(r["votes"], prior)) for r in rows], prior), table, prior
 
 
 def with_quality(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "quality_score") -> DataFrame:
