@@ -47,7 +47,7 @@ BROADCAST_PIECES = 6_000_000
 #: Bytes of text that one block holds on average where the pieces can't be broadcast.
 BLOCK_BYTES = 16_000_000
 _MARKS = frozenset(".,;:!?")
-_NO_RANK, _EMPTY = 1 << 16, 1 << 60
+_NO_RANK, _EMPTY, _EDGE = 1 << 16, 1 << 60, (1 << 16) - 1
 
 
 def _prime(least: int) -> int:
@@ -64,8 +64,8 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
-        if sorted(self.ranks.values()) != list(range(len(self.ranks))) or len(self.ranks) > 2**16:
-            raise ValueError("ranks must number from 0 without gaps, 65,536 at most")
+        if sorted(self.ranks.values()) != list(range(len(self.ranks))) or len(self.ranks) >= 2**16:
+            raise ValueError("ranks must number from 0 without gaps, 65,535 at most")
         self.pattern = pattern
         self.pieces = sorted(self.ranks, key=self.ranks.get)
         pairs = {}
@@ -122,31 +122,30 @@ class Vocabulary:
 
         Its least element is so the leftmost pair of lowest rank.
         """
-        by_byte = F.transform(F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), ""), lambda c: tables["bytes"][F.ascii(c)])
-        none = F.array().cast("array<bigint>")
+        codes = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
+        edge = F.array(F.lit(_EDGE).cast("bigint"))  # before and after all parts, in no pair
+        by_byte = F.concat(edge, F.transform(codes, lambda c: tables["bytes"][F.ascii(c)]), edge)
 
         def id_of(x: Column) -> Column:
             return x.bitwiseAND(F.lit(0xFFFF))
 
         def start(ids: Column) -> Column:
-            rank = lambda i: F.when(i < F.size(ids) - 1, self.pair_rank(tables, F.get(ids, i), F.get(ids, i + 1))).otherwise(F.lit(_NO_RANK))
-            return F.transform(ids, lambda x, i: F.shiftleft(rank(i), 40) + F.shiftleft(i.cast("bigint"), 16) + x)
+            rank = lambda x, i: self.pair_rank(tables, x, F.coalesce(F.get(ids, i + 1), F.lit(_EDGE)))
+            return F.transform(ids, lambda x, i: F.shiftleft(rank(x, i), 40) + F.shiftleft(i.cast("bigint"), 16) + x)
 
         def step(acc: Column, _: Column) -> Column:
             return _let(F.array_min(acc), lambda least: F.when(least >= _NO_RANK << 40, acc).otherwise(_let(F.array_position(acc, least).cast("int"), lambda at: merge(acc, least, at))))
 
         def merge(acc: Column, least: Column, at: Column) -> Column:
-            new, size = F.shiftright(least, 40), F.size(acc)
-            before, after = F.get(acc, at - 2), F.get(acc, at + 1)
-            left = F.when(at > 1, F.array(before.bitwiseAND(F.lit((1 << 40) - 1)) + F.shiftleft(self.pair_rank(tables, id_of(before), new), 40))).otherwise(none)
-            rank = F.when(at + 1 < size, self.pair_rank(tables, new, id_of(after))).otherwise(F.lit(_NO_RANK))
-            joined = F.shiftleft(rank, 40) + least.bitwiseAND(F.lit(0xFFFFFF0000)) + new
-            return F.concat(F.slice(acc, 1, F.greatest(at - 2, F.lit(0))), left, F.array(joined), F.slice(acc, at + 2, size))
+            new, before = F.shiftright(least, 40), acc[at - 2]
+            left = F.shiftleft(self.pair_rank(tables, id_of(before), new), 40) + before.bitwiseAND(F.lit((1 << 40) - 1))
+            joined = F.shiftleft(self.pair_rank(tables, new, id_of(acc[at + 1])), 40) + least.bitwiseAND(F.lit(0xFFFFFF0000)) + new
+            return F.concat(F.slice(acc, F.lit(1), at - 2), F.array(left, joined), F.slice(acc, at + 2, F.size(acc)))
 
         def folded(state: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(state) - 1, F.lit(1))), state, step)
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(state) - 3, F.lit(1))), state, step)
 
-        return F.transform(_let(_let(by_byte, start), folded), lambda x: id_of(x).cast("int"))
+        return _let(_let(_let(by_byte, start), folded), lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda y: id_of(y).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array<int> of ids."""
@@ -276,7 +275,7 @@ class _Packed:
 
 
 #: Units whose ids a worker keeps, and characters of text that it looks up at a time.
-_MEMO, _GROUP = 400_000, 200_000
+_MEMO, _GROUP = 800_000, 200_000
 
 
 def _digest(texts: Iterator[str | None], table: _Packed, cutter: _Cutter, pieces: list[bytes], memo: dict[str, bytes]) -> list[tuple[int, str, str]]:
