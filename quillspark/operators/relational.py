@@ -67,19 +67,23 @@ def runs(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: s
 def pack_shards(sizes: DataFrame, max_groups: int, max_rows: int, partition: str = "split", key: str = "schedule_id", rows: str = "n") -> DataFrame:
     """O-60: greedy bins in order of key: a new one once a bin is full by groups, or the next would overflow its rows.
 
-    A running sum with reset, folded over each partition's sorted (key, rows) pairs; a group larger
-    than a bin gets one of its own. Input is one small row per group, not the groups' rows.
+    A running sum with reset, folded over each partition's sorted (key, rows) pairs, which yields the
+    positions where bins begin; a group larger than a bin gets one of its own. Input is one small row
+    per group, not the groups' rows.
     """
-    state = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("groups"), F.lit(0).cast("bigint").alias("rows"), F.array().cast("array<int>").alias("out"))
+    zero = F.lit(0).cast("bigint")
+    state = F.struct(zero.alias("i"), zero.alias("groups"), zero.alias("rows"), F.array().cast("array<bigint>").alias("starts"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["groups"] >= max_groups) | ((acc["groups"] > 0) & (acc["rows"] + x["n"] > max_rows))
-        shard = acc["shard"] + full.cast("int")
-        return F.struct(shard.alias("shard"), F.when(full, F.lit(1).cast("bigint")).otherwise(acc["groups"] + 1).alias("groups"), F.when(full, x["n"]).otherwise(acc["rows"] + x["n"]).alias("rows"), F.concat(acc["out"], F.array(shard)).alias("out"))
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["groups"] >= max_groups) | ((acc["groups"] > 0) & (acc["rows"] + n > max_rows))
+        return F.struct((acc["i"] + 1).alias("i"), F.when(full, F.lit(1).cast("bigint")).otherwise(acc["groups"] + 1).alias("groups"), F.when(full, n).otherwise(acc["rows"] + n).alias("rows"), F.when(full, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"))
 
-    items = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(rows).cast("bigint").alias("n"))))
-    packed = sizes.groupBy(partition).agg(items.alias("items")).withColumn("shards", F.aggregate("items", state, step)["out"])
-    return packed.select(partition, F.explode(F.arrays_zip("items", "shards")).alias("x")).select(partition, F.col("x.items.k").alias(key), F.col("x.items.n").alias(rows), F.col("x.shards").alias("shard"))
+    order = Window.partitionBy(partition).orderBy(key)
+    numbered = sizes.select(partition, key, F.col(rows).cast("bigint").alias(rows)).withColumn("_i", (F.row_number().over(order) - 1).cast("bigint"))
+    folded = numbered.groupBy(partition).agg(F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("_i", rows))), lambda x: x[rows]), state, step)["starts"].alias("_starts"))
+    starts = folded.select(partition, F.explode("_starts").alias("_i"), F.lit(1).alias("_new"))
+    running = Window.partitionBy(partition).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    return numbered.join(starts, [partition, "_i"], "left").withColumn("shard", F.sum(F.coalesce("_new", F.lit(0))).over(running).cast("int")).select(partition, key, rows, "shard")
 
 
 def even_quota(df: DataFrame, seed: int, key: str, chosen: int, total: int) -> DataFrame:
@@ -97,6 +101,25 @@ def capped_weighted_sample(df: DataFrame, seed: int, key: Sequence[str], group:
     return drawn.withColumn("draw_rank", F.row_number().over(order)).where(F.col("draw_rank") <= cap).drop("_draw")
 
 
+def weighted_picks(draws: DataFrame, draw: Column, weights: DataFrame, key: str, weight: str) -> DataFrame:
+    """O-160: with replacement: for each uniform ``draw``, the ``key`` in whose stretch of the cumulative weights it falls.
+
+    Stretches are cut at the borders of as many equal buckets as there are keys, so that draws meet
+    them through an equi-join on the bucket. Only the weights' own running sum is in one order.
+    """
+    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    marked = weights.select(F.col(key), F.col(weight).cast("double").alias("_w")).withColumn("_hi", F.sum("_w").over(order))
+    total, n = marked.agg(F.sum("_w"), F.count("*")).first()
+    if not n or not total:
+        raise ValueError("no weights")
+    width = total / n
+    bucket = lambda x: F.least(F.floor(x / width), F.lit(n - 1))
+    spans = marked.withColumn("_lo", F.col("_hi") - F.col("_w")).where("_w > 0")
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
+    at = draws.withColumn("_at", draw * total).withColumn("_bucket", bucket(F.col("_at")))
+    return at.join(spans, "_bucket").where("_at >= _lo and _at < _hi").drop("_bucket", "_at", "_lo", "_hi", "_w")
+
+
 def batches(df: DataFrame, group: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """O-165, O-166: batch numbers of ``size`` rows within each group."""
     w = Window.partitionBy(*group).orderBy(*order)

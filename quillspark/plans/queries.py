@@ -535,15 +535,9 @@ def crop_modes(spark, sf):
     SELECT c_custkey, (SELECT arg_min(p_partkey, hi) FROM w WHERE hi > u * total) AS p_partkey FROM d
 """)
 def weighted_pick(spark, sf):
-    """O-160: weighted draw with replacement, by cumulative weights: parts and draws merged in one order, next part wins."""
-    parts = table(spark, sf, "part")
-    total = parts.agg(F.sum("p_size").cast("double").alias("total"))
-    order = Window.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    marks = parts.select(F.sum("p_size").over(order).cast("double").alias("at"), F.col("p_partkey"), F.lit(None).cast("bigint").alias("c_custkey"))
-    draws = table(spark, sf, "customer").crossJoin(F.broadcast(total)).select((exprs.uniform(21, F.col("c_custkey")) * F.col("total")).alias("at"), F.lit(None).cast("bigint").alias("p_partkey"), "c_custkey")
-    onward = Window.orderBy("at", F.col("c_custkey").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    merged = marks.union(draws).withColumn("next", F.first("p_partkey", ignorenulls=True).over(onward))
-    return merged.where("c_custkey is not null").select("c_custkey", F.col("next").alias("p_partkey"))
+    """O-160: weighted draw with replacement."""
+    draws = table(spark, sf, "customer").select("c_custkey", exprs.uniform(21, F.col("c_custkey")).alias("u"))
+    return rel.weighted_picks(draws, F.col("u"), table(spark, sf, "part"), "p_partkey", "p_size").select("c_custkey", "p_partkey")
 
 
 # Step 6: grouped algorithms on derived boxes
