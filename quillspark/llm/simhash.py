@@ -98,6 +98,8 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
         second = second if flip is None else second.bitwiseXOR(F.lit(1 << flip))
         return F.struct(F.lit(i).alias("i"), _cut(fp, segs[i]).alias("a"), second.alias("b"))
 
+    # a fixed spread before rows multiply, by another key than they are grouped by, which would be optimised away
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     stored = fps.select(fp.alias("v"), F.inline(F.array(*(key(i, None) for i in range(m)))))
     near = [key(i, flip) for i in range(m) for flip in (None, *range(segs[(i + 1) % m][1]))]
     probes = fps.select(fp.alias("u"), F.inline(F.array(*near)))
