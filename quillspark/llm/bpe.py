@@ -73,21 +73,22 @@ class Vocabulary:
             for i in range(1, len(piece)):
                 a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    pairs[a << 16 | b] = rank
-        self._sizes, *self._tables = self._cuckoo(pairs)
-        self._bytes = json.dumps([self.ranks[bytes([i])] for i in range(256)])
+                    pairs[a << 32 | b << 16] = rank
+        self._sizes, *tables = self._cuckoo(pairs)
+        first = [self.ranks[bytes([i])] for i in range(256)] + [_EDGE]
+        self._tables = [*tables, json.dumps([pairs.get(a << 32 | b << 16, _NO_RANK) << 40 | a for a in first for b in first])]
         self._hex = json.dumps([p.hex() for p in self.pieces])
 
     @staticmethod
     def _cuckoo(pairs: dict[int, int]) -> tuple[tuple[int, int], str, str]:
-        """Two tables of prime sizes; a key is at key mod size in one of them, as key * 65536 + rank."""
+        """Two tables of prime sizes; a key (its low 16 bits are 0) is at key mod size in one of them, as key + rank."""
         first = _prime(3 * len(pairs) // 2)
         sizes = (first, _prime(first + 1))
         tables = [[_EMPTY] * n for n in sizes]
         for key, rank in pairs.items():
-            entry, side = key << 16 | rank, 0
+            entry, side = key | rank, 0
             for _ in range(2000):
-                at = (entry >> 16) % sizes[side]
+                at = (entry & ~0xFFFF) % sizes[side]
                 entry, tables[side][at] = tables[side][at], entry
                 if entry == _EMPTY:
                     break
@@ -96,56 +97,55 @@ class Vocabulary:
                 raise ValueError("the pairs don't fit")
         return sizes, json.dumps(tables[0]), json.dumps(tables[1])
 
-    def _literal(self) -> Column:
-        """The two tables and the ids of single bytes as one foldable struct."""
-        array = lambda text, kind: F.from_json(F.lit(text), f"array<{kind}>")
-        return F.struct(array(self._tables[0], "bigint").alias("one"), array(self._tables[1], "bigint").alias("two"), array(self._bytes, "bigint").alias("bytes"))
+    def _literals(self, body) -> Column:  # noqa: ANN001
+        """``body`` of the two tables and the table of byte pairs, each a foldable array."""
+        one, two, start = (F.from_json(F.lit(text), "array<bigint>") for text in self._tables)
+        return _let(one, lambda x: _let(two, lambda y: _let(start, lambda z: body((x, y), z))))
 
-    def pair_rank(self, tables: Column, a: Column, b: Column) -> Column:
-        """Rank of the union of two ids, ``_NO_RANK`` if it has none.
+    def pair_rank(self, tables: tuple[Column, Column], a: Column, b: Column) -> Column:
+        """Rank of the union of two ids, given as a * 2 ** 32 and b * 2 ** 16; ``_NO_RANK`` if it has none.
 
         An entry less its own key leaves the rank; less another key, something of 2 ** 16 or more.
         """
 
         def look(key: Column) -> Column:
-            found = (tables[name][key % size].bitwiseXOR(key * 65536) for name, size in zip(("one", "two"), self._sizes, strict=True))
+            found = (table[key % size].bitwiseXOR(key) for table, size in zip(tables, self._sizes, strict=True))
             return F.least(*found, F.lit(_NO_RANK))
 
-        return _let(a * 65536 + b, look)
+        return _let(a + b, look)
 
     def encode(self, piece: Column) -> Column:
         """Ids of one piece (a string column) as array<int>."""
-        return _let(self._literal(), lambda tables: self._encode(tables, piece))
+        return self._literals(lambda tables, start: self._encode(tables, start, piece))
 
-    def _encode(self, tables: Column, piece: Column) -> Column:
+    def _encode(self, tables: tuple[Column, Column], starts: Column, piece: Column) -> Column:
         """The state is one array of longs: rank of the pair with the next part, start of the part, its id.
 
         Its least element is so the leftmost pair of lowest rank.
         """
-        codes = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
-        edge = F.array(F.lit(_EDGE).cast("bigint"))  # before and after all parts, in no pair
-        by_byte = F.concat(edge, F.transform(codes, lambda c: tables["bytes"][F.ascii(c)]), edge)
+        chars = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
+        edge = F.array(F.lit(256))  # before and after all parts, in no pair
+        codes = F.concat(edge, F.transform(chars, F.ascii), edge)
 
         def id_of(x: Column) -> Column:
             return x.bitwiseAND(F.lit(0xFFFF))
 
-        def start(ids: Column) -> Column:
-            rank = lambda x, i: self.pair_rank(tables, x, F.coalesce(F.get(ids, i + 1), F.lit(_EDGE)))
-            return F.transform(ids, lambda x, i: F.shiftleft(rank(x, i), 40) + F.shiftleft(i.cast("bigint"), 16) + x)
+        def start(codes: Column) -> Column:
+            return F.transform(codes, lambda c, i: starts[c * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256))] + F.shiftleft(i.cast("bigint"), 16))
 
         def step(acc: Column, _: Column) -> Column:
             return _let(F.array_min(acc), lambda least: F.when(least >= _NO_RANK << 40, acc).otherwise(_let(F.array_position(acc, least).cast("int"), lambda at: merge(acc, least, at))))
 
         def merge(acc: Column, least: Column, at: Column) -> Column:
             new, before = F.shiftright(least, 40), acc[at - 2]
-            left = F.shiftleft(self.pair_rank(tables, id_of(before), new), 40) + before.bitwiseAND(F.lit((1 << 40) - 1))
-            joined = F.shiftleft(self.pair_rank(tables, new, id_of(acc[at + 1])), 40) + least.bitwiseAND(F.lit(0xFFFFFF0000)) + new
-            return F.concat(F.slice(acc, F.lit(1), at - 2), F.array(left, joined), F.slice(acc, at + 2, F.size(acc)))
+            left = F.shiftleft(self.pair_rank(tables, F.shiftleft(id_of(before), 32), F.shiftleft(new, 16)), 40) + before.bitwiseAND(F.lit((1 << 40) - 1))
+            joined = F.shiftleft(self.pair_rank(tables, F.shiftleft(new, 32), F.shiftleft(id_of(acc[at + 1]), 16)), 40) + least.bitwiseAND(F.lit(0xFFFFFF0000)) + new
+            return F.flatten(F.array(F.slice(acc, F.lit(1), at - 2), F.array(left, joined), F.slice(acc, at + 2, F.size(acc))))
 
         def folded(state: Column) -> Column:
             return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(state) - 3, F.lit(1))), state, step)
 
-        return _let(_let(_let(by_byte, start), folded), lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda y: id_of(y).cast("int")))
+        return _let(_let(_let(codes, start), folded), lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda y: id_of(y).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array<int> of ids."""
