@@ -284,3 +284,39 @@ def canonicalise(df: DataFrame, text: str, codes: DataFrame) -> DataFrame:
     cleaned = df.withColumn("_text", F.trim(text))
     joined = cleaned.join(exact, F.col("_text") == F.col("_exact"), "left").join(folded, F.lower("_text") == F.col("_fold"), "left")
     return joined.withColumn("canonical", F.coalesce("_by_exact", "_by_fold")).drop("_text", "_exact", "_by_exact", "_fold", "_by_fold")
+
+
+def cv_partition(records: DataFrame, fold: Column, held_out: int, split: str = "split") -> DataFrame:
+    """``records`` with ``role``: validation in the held-out fold, else train. A row outside the train split is an error."""
+    outside = F.raise_error(F.concat(F.lit("not a train row: split "), F.coalesce(F.col(split), F.lit("null"))))
+    return records.withColumn("role", F.when(~F.col(split).eqNullSafe("train"), outside).when(fold == held_out, "validation").otherwise("train"))
+
+
+def ordered_distinct(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """The distinct values of each key and the place of their first occurrence, from 1 (ties in ``order`` to the smaller value)."""
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first", value)))
+
+
+def mixed_groups(df: DataFrame, group: Column, attribute: str) -> DataFrame:
+    """Groups that hold other than one value of ``attribute``; an empty result means that all are uniform."""
+    return df.groupBy(group.alias("batch")).agg(F.countDistinct(attribute).alias("n_values")).where("n_values <> 1")
+
+
+def filled_from(records: DataFrame, expected: DataFrame, key: str, attribute: str) -> DataFrame:
+    """Each record's attribute, filled from the expected row where null, and ``conflict`` where both are stated and differ."""
+    joined = records.join(expected.select(key, F.col(attribute).alias("_expected")), key, "left")
+    conflict = F.coalesce(F.col(attribute) != F.col("_expected"), F.lit(False))
+    return joined.withColumn("conflict", conflict).withColumn(attribute, F.coalesce(attribute, "_expected")).drop("_expected")
+
+
+def dataset_plan(ids: DataFrame, root_seed: int, templates: Sequence[str], prefix: str, most_people: int = 32) -> DataFrame:
+    """Plan rows for ``ids`` (a column ``id`` from 1): templates in turn, a seed from the id, hashed month and people count."""
+    name = F.concat(F.lit(f"{prefix}_"), F.when(F.col("id") < 10_000, F.lpad(F.col("id").cast("string"), 4, "0")).otherwise(F.col("id").cast("string")))
+    seed = exprs.seed_of(root_seed, F.col("schedule_id"))
+    turn = F.element_at(F.array(*map(F.lit, templates)), ((F.col("id") - 1) % len(templates) + 1).cast("int"))
+    draws = {"month": (F.lit(1), 12), "people_count": (F.lit(18), most_people - 17)}
+    plan = ids.select("id", name.alias("schedule_id")).withColumn("seed", seed).withColumn("template_id", turn)
+    for column, (least, n) in draws.items():
+        plan = plan.withColumn(column, least + (exprs.hex_prefix(F.concat_ws(":", "seed", F.lit(column)), 8) % n).cast("int"))
+    return plan

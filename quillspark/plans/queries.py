@@ -665,6 +665,68 @@ def optional_enrichment(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left").select("o_orderkey", "o_custkey", "c_mktsegment", F.coalesce("c_acctbal", F.lit(0.0)).alias("balance"))
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+      floor(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) * 1.25 + 0.5)::BIGINT AS edge FROM lineitem
+""")
+def pixel_edges(spark, sf):
+    """O-45: running widths scaled to pixels, halves rounded up."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.floor(F.sum("l_quantity").over(order) * F.lit(1.25) + F.lit(0.5)).cast("bigint")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", edge.alias("edge"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND (CASE o_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END) IS DISTINCT FROM false")
+def not_explicitly_false(spark, sf):
+    """O-53, O-54: kinds in a list; only an explicit false is dropped."""
+    flag = F.when(F.col("o_custkey") % 3 == 1, False).when(F.col("o_custkey") % 3 == 2, True)
+    return table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "P") & ~flag.eqNullSafe(F.lit(False))).select("o_orderkey")
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN ('0x' || substr(sha256('7:' || o_orderkey), 1, 8))::BIGINT % 3 = 1 THEN 'validation' ELSE 'train' END AS role
+    FROM orders WHERE o_orderstatus = 'F'
+""")
+def cv_partition(spark, sf):
+    """O-55."""
+    train = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.lit("train").alias("split"))
+    return rel.cv_partition(train, exprs.cv_fold(7, F.col("o_orderkey")), 1).select("o_orderkey", "role")
+
+
+@query("SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), event_type) AS place FROM events GROUP BY user_id, event_type")
+def ordered_distinct(spark, sf):
+    """O-98."""
+    return rel.ordered_distinct(table(spark, sf, "events"), ["user_id"], "event_type", "event_id").select("user_id", "event_type", "place")
+
+
+@query("SELECT o_orderkey // 4 AS batch, count(DISTINCT o_orderstatus) AS n_values FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) <> 1")
+def mixed_batches(spark, sf):
+    """O-177."""
+    return rel.mixed_groups(table(spark, sf, "orders"), F.expr("o_orderkey div 4"), "o_orderstatus")
+
+
+@query("""
+    SELECT c_custkey, coalesce(stated, c_mktsegment) AS c_mktsegment, coalesce(stated <> c_mktsegment, false) AS conflict
+    FROM (SELECT c_custkey, c_mktsegment, CASE c_custkey % 3 WHEN 1 THEN c_mktsegment WHEN 2 THEN 'BUILDING' END AS stated FROM customer)
+""")
+def filled_with_conflicts(spark, sf):
+    """O-149."""
+    customer, k = table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("c_custkey") % 3
+    stated = customer.select("c_custkey", F.when(k == 1, F.col("c_mktsegment")).when(k == 2, "BUILDING").alias("c_mktsegment"))
+    return rel.filled_from(stated, customer, "c_custkey", "c_mktsegment")
+
+
+@query("""
+    WITH p AS (SELECT c_custkey AS id, 'plan_' || CASE WHEN c_custkey < 10000 THEN lpad(c_custkey::VARCHAR, 4, '0') ELSE c_custkey::VARCHAR END AS schedule_id FROM customer WHERE c_custkey > 0),
+    s AS (SELECT *, ('0x' || substr(sha256('11:' || schedule_id), 1, 15))::BIGINT AS seed, (['A', 'B', 'C'])[(id - 1) % 3 + 1] AS template_id FROM p)
+    SELECT *, (1 + ('0x' || substr(sha256(seed || ':month'), 1, 8))::BIGINT % 12)::INTEGER AS month, (18 + ('0x' || substr(sha256(seed || ':people_count'), 1, 8))::BIGINT % 15)::INTEGER AS people_count FROM s
+""")
+def dataset_plan(spark, sf):
+    """O-163, O-185: templates in turn; month and people count are hashed draws."""
+    ids = table(spark, sf, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("id"))
+    return rel.dataset_plan(ids, 11, ["A", "B", "C"], "plan")
+
+
 # Step 8: extensions beyond the reference
 
 

@@ -176,3 +176,20 @@ def test_stream_matches_batch(spark, small, tmp_path):
     q.stop()
     got = sum(r["n"] for r in spark.sql("select n from w").collect())
     assert got == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_cv_partition_refuses_other_splits(spark):
+    rows = spark.createDataFrame([(1, "train", 0), (2, "train", 1)], "id long, split string, fold int")
+    roles = {r["id"]: r["role"] for r in rel.cv_partition(rows, F.col("fold"), 1).collect()}
+    assert roles == {1: "train", 2: "validation"}
+    for other in ("test", None):
+        bad = rows.union(spark.createDataFrame([(3, other, 0)], rows.schema))
+        with pytest.raises(Exception, match="not a train row"):
+            rel.cv_partition(bad, F.col("fold"), 1).collect()
+
+
+def test_filled_from_nulls_and_absent_rows(spark):
+    stated = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, "c"), (None, None)], "id long, kind string")
+    expected = spark.createDataFrame([(1, "x"), (2, "a"), (3, "x")], "id long, kind string")
+    found = {r["id"]: (r["kind"], r["conflict"]) for r in rel.filled_from(stated, expected, "id", "kind").collect()}
+    assert found == {1: ("x", False), 2: ("a", False), 3: ("b", True), 4: ("c", False), None: (None, False)}
