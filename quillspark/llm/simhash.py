@@ -30,6 +30,9 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import comb, prod
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -42,6 +45,10 @@ from quillspark.session import small_batches, staged
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 8192
 
+#: Differing bits of 256 that stand for a cosine of at least 0.86 between shingle counts, a little under
+#: that of texts with a Jaccard similarity of 0.8 (cosine 0.89), to allow for the fingerprint's own spread.
+WIDE_BITS = 50
+
 
 def fingerprint(text: str | None, shingle: int, words64: int = 1) -> list[int]:
     """Fingerprint of one text as signed 64-bit words; bit i of a word is set if over half the hashes set it."""
@@ -133,15 +140,37 @@ def rings(total_bits: int, n_rings: int, m: int) -> list[list[list[int]]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def ring_counts() -> dict[int, int]:
+    """Rings by segments per ring, for which pairs at a similarity of 0.8 are found as often as by 12 rings of 11 segments.
+
+    Of such a pair's 256 bits each differs with probability 0.15; it is found if a segment, of the ring's real
+    width, has no differing bit. Pairs with more than 50 differing bits are no links.
+    """
+    share = {d: comb(256, d) * 0.15**d * 0.85 ** (256 - d) for d in range(WIDE_BITS + 1)}
+
+    def missed(m: int, n_rings: int) -> float:
+        widths = [256 * (i + 1) // m - 256 * i // m for i in range(m)]
+        unequal = {d: prod(1 - comb(256 - w, d) / comb(256, d) for w in widths) for d in share}
+        return sum(share[d] * unequal[d] ** n_rings for d in share)
+
+    least = missed(11, 12)
+    return {m: next(n for n in range(12, 10_000) if missed(m, n) <= least) for m in range(11, 6, -1)}
+
+
 def ring_plan(rows: int) -> tuple[int, int]:
-    """(segments per ring, rings) for so many fingerprints of 256 bits.
+    """(segments per ring, rings) for so many fingerprints of 256 bits, of the layouts that find as many pairs.
 
-    Segments have log2(rows) + 2 bits, 23 at least, so that a bucket holds less than one unrelated
-    fingerprint on average at any size; a wider segment is equal less often, in the ratio of about 0.85
-    per bit at a similarity of 0.8, which further rings make up for.
+    The one with the least work is taken: its keys, those that share a bucket with an unrelated fingerprint
+    (four times as wide, with the words), and the comparisons there.
     """
-    width = max(23, rows.bit_length() + 2)
-    return 256 // width, int(np.ceil(12 * 0.85 ** (23 - width)))
+
+    def work(m: int) -> float:
+        others = rows / 2 ** (256 / m)
+        return m * ring_counts()[m] * (1 + 4 * (1 - np.exp(-others)) + others)
+
+    m = min(ring_counts(), key=work)
+    return m, ring_counts()[m]
 
 
 def wide_links(fps: DataFrame, max_bits: int, total_bits: int = 256) -> DataFrame:
@@ -205,11 +234,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Differing bits of 256 that stand for a cosine of at least 0.86 between shingle counts, a little under
-#: that of texts with a Jaccard similarity of 0.8 (cosine 0.89), to allow for the fingerprint's own spread.
-WIDE_BITS = 50
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:
     """``docs`` with one row, that of the smallest id, for each group of near duplicates.
 

@@ -125,6 +125,24 @@ def test_wide_mode_recall(spark, changed, least):
     assert (len(rows) - len(left)) / (len(rows) - n) >= least
 
 
+@pytest.mark.parametrize("size", [2**24, 2**27])
+def test_wide_mode_recall_in_large_tables(spark, monkeypatch, size):
+    plan = simhash.ring_plan(size)
+    monkeypatch.setattr(simhash, "ring_plan", lambda rows: plan)
+    test_wide_mode_recall(spark, 5, 0.85)
+
+
+def test_ring_plan_finds_alike_at_any_size():
+    bits = np.random.default_rng(1).random((3000, 256)) < 0.15
+    bits = bits[bits.sum(1) <= 50]
+
+    def found(m, n_rings):
+        return np.any([~bits[:, seg].any(1) for ring in simhash.rings(256, n_rings, m) for seg in ring], axis=0).mean()
+
+    shares = [found(*simhash.ring_plan(2**k)) for k in (10, 22, 24, 27)]
+    assert min(shares) >= shares[0] - 0.015
+
+
 def test_wide_mode_keeps_unlike_texts(spark, docs, texts):
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
