@@ -14,9 +14,9 @@ second. No link is lost and no bucket's rows are paired by brute force.
 Wide mode (``wide_links``): for a low similarity the budget is a large share of
 the bits and no segment need be equal. Fingerprints of 256 bits are laid on
 several rings (fixed permutations of the bits); a candidate must share a whole
-segment with the smallest fingerprint of its bucket, keep within the budgets
-along the chain that starts there, and pass the full check. This is a
-probabilistic filter; the README gives its measured recall.
+segment, keep within the budgets along the chain that starts there, and pass the
+full check. All members of a bucket that do so are linked, directly or through
+one another. This is a probabilistic filter; the README gives its measured recall.
 
 Equal fingerprints are collapsed first, so copies never meet in a join. Only
 aggregates, equi-joins and components on fingerprints follow.
@@ -173,8 +173,66 @@ def ring_plan(rows: int) -> tuple[int, int]:
     return m, ring_counts()[m]
 
 
+def _chain_check(layout: list[list[list[int]]], max_bits: int):  # noqa: ANN202
+    """A function of differing bits (rows of 64-bit words) and starts: do they keep within the budgets, chains and all?"""
+    m, total_bits = len(layout[0]), sum(map(len, layout[0]))
+    masks = np.zeros((len(layout) * m, m, total_bits // 64), dtype=np.uint64)  # per start, of each chain
+    for r, ring in enumerate(layout):
+        for i in range(m):
+            for length in range(m):
+                masks[r * m + i, length] = masks[r * m + i, length - 1] if length else 0
+                for bit in ring[(i + length) % m]:
+                    masks[r * m + i, length, bit // 64] |= np.uint64(1 << 63 - bit % 64)
+    limit = np.arange(1, m + 1) * max_bits / m
+
+    def check(apart: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= max_bits
+        near = np.flatnonzero(ok)
+        for at in range(0, len(near), 4096):
+            part = near[at : at + 4096]
+            chains = np.bitwise_count(apart[part, None, :] & masks[starts[part]]).sum(axis=2, dtype=np.int64)
+            ok[part] = (chains <= limit).all(axis=1)
+        return ok
+
+    return check
+
+
+#: Buckets of up to so many members are compared pair by pair.
+SMALL_BUCKET = 8
+
+
+def bucket_links(keys: np.ndarray, words: np.ndarray, check) -> list[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+    """Row numbers of links between rows of equal key (rows come in order of key).
+
+    Every two rows of a bucket that pass ``check`` are linked directly or through others of the bucket. In a
+    large bucket each row reached is compared with all not reached yet, so copies of one text take one pass.
+    """
+    def passes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return check(words[i] ^ words[j], keys[i] >> 48)
+
+    found = []
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    size_of = np.repeat(sizes, sizes)
+    for step in range(1, min(SMALL_BUCKET, len(keys))):
+        i = np.flatnonzero((keys[step:] == keys[:-step]) & (size_of[step:] <= SMALL_BUCKET))
+        i = i[passes(i, i + step)]
+        found.append((i, i + step))
+    for start, size in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+        todo = np.arange(start, start + size)
+        while len(todo) > 1:
+            reached, todo = [todo[0]], todo[1:]
+            while reached and len(todo):
+                own = np.full(len(todo), reached.pop())
+                hit = passes(own, todo)
+                found.append((own[hit], todo[hit]))
+                reached.extend(todo[hit])
+                todo = todo[~hit]
+    return found
+
+
 def wide_links(fps: DataFrame, max_bits: int, total_bits: int = 256) -> DataFrame:
-    """(u, v) ids of ``fps(id, words)`` whose wide fingerprints share a segment and differ in at most ``max_bits``."""
+    """(u, v) ids of ``fps(id, words)`` with a shared segment and budgets kept: all such pairs are joined, directly or by way of others."""
     m, n_rings = ring_plan(fps.count())
     layout = rings(total_bits, n_rings, m)
     n = total_bits // 64
@@ -192,36 +250,34 @@ def wide_links(fps: DataFrame, max_bits: int, total_bits: int = 256) -> DataFram
                 cols.append(value + (np.int64(r * m + i) << 48))
         return pd.Series(list(np.stack(cols, axis=1)))
 
-    keyed = staged(fps.select("id", F.explode(keys("words")).alias("key")), "keys")
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    pairs = keyed.join(heads, "key").where("id <> head").select("id", "head", F.shiftright("key", 48).alias("start"))
-    # one row per pair, with the starts where they meet: at most n_rings * m of them
-    pairs = pairs.groupBy("id", "head").agg(F.collect_set("start").alias("starts"))
-    left = fps.select(F.col("id"), F.col("words").alias("wa"))
-    right = fps.select(F.col("id").alias("head"), F.col("words").alias("wb"))
-
-    @F.pandas_udf("boolean")
-    def close(starts: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
-        if not len(starts):
-            return pd.Series([], dtype=bool)
-        x = (np.stack(wa.to_numpy()).astype(np.int64) ^ np.stack(wb.to_numpy()).astype(np.int64)).astype(">i8").view(np.uint8).reshape(-1, 8 * n)
-        bits = np.unpackbits(x, axis=1)
-        total = bits.sum(axis=1, dtype=np.int64)
-        ok = np.zeros(len(bits), dtype=bool)
-        by_seg = np.stack([np.stack([bits[:, seg].sum(axis=1, dtype=np.int64) for seg in ring], axis=1) for ring in layout], axis=1)
-        limit = np.arange(1, m + 1) * max_bits / m
-        for row, (found, full) in enumerate(zip(starts, total, strict=True)):
-            if full > max_bits:
+    def link(batches):  # noqa: ANN001, ANN202
+        check = _chain_check(layout, max_bits)
+        open_: list[np.ndarray] = []  # rows of the bucket that may go on in the next batch
+
+        def links_of(rows: np.ndarray) -> pd.DataFrame:
+            pairs = bucket_links(rows[:, 0], rows[:, 2:].view(np.uint64), check) if len(rows) else []
+            i, j = (np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, dtype=np.int64) for k in (0, 1))
+            return pd.DataFrame({"u": rows[i, 1], "v": rows[j, 1]})
+
+        for batch in batches:
+            rows = np.ascontiguousarray(batch.to_numpy(dtype=np.int64))
+            if not len(rows):
                 continue
-            for s in found:
-                chain = np.cumsum(np.roll(by_seg[row, s // m], -(s % m)))
-                if (chain <= limit).all():
-                    ok[row] = True
-                    break
-        return pd.Series(ok)
-
-    joined = pairs.join(left, "id").join(right, "head")
-    return joined.where(close("starts", "wa", "wb")).select(F.col("id").alias("u"), F.col("head").alias("v"))
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if cut or open_ and open_[0][0, 0] != rows[-1, 0]:
+                yield links_of(np.concatenate([*open_, rows[:cut]]))
+                open_ = []
+            open_.append(rows[cut:])
+        if open_:
+            yield links_of(np.concatenate(open_))
+
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed spread before rows multiply
+    keyed = fps.repartition(parts, F.xxhash64("id")).select("id", F.explode(keys("words")).alias("key")).repartition(parts, "key")
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "id")
+    words = fps.select("id", *(F.col("words")[k].alias(f"w{k}") for k in range(n)))
+    members = shared.join(words, "id").select("key", "id", *(f"w{k}" for k in range(n)))
+    return members.repartition(parts, "key").sortWithinPartitions("key", "id").mapInPandas(link, "u long, v long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:

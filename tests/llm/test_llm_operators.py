@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, classifier, html, mixing, queries, rules, sharding, simhash, topk, urlfilter, warc
+from quillspark.operators.components import connected_components
 from quillspark.session import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, id string, size string, tokens string, key string, words string"
@@ -143,6 +144,58 @@ def test_ring_plan_finds_alike_at_any_size():
     assert min(shares) >= shares[0] - 0.015
 
 
+def flipped(rng, bits, n):
+    out = bits.copy()
+    out[rng.choice(256, n, replace=False)] ^= 1
+    return out
+
+
+def test_bucket_links_join_all_close_pairs():
+    rng = np.random.default_rng(4)
+    layout = simhash.rings(256, 2, 11)
+    check = simhash._chain_check(layout, 50)
+    for size in (2, 5, 8, 9, 60):
+        base = rng.integers(0, 2, 256).astype(np.uint8)
+        bases = [flipped(rng, base, 45) for _ in range(max(1, size // 3))]
+        bits = np.array([flipped(rng, bases[rng.integers(len(bases))], 20) for _ in range(size)])
+        keys = np.repeat(np.arange(2, dtype=np.int64) << 48, size)  # two buckets, by other starts
+        words = np.concatenate([np.packbits(bits, axis=1).view(">u8").astype(np.uint64)] * 2)
+
+        def close(i, j):
+            apart = bits[i % size] ^ bits[j % size]
+            chain = np.cumsum([apart[layout[0][(keys[i] >> 48) + k - 11 * ((keys[i] >> 48) + k > 10)]].sum() for k in range(11)])
+            return keys[i] == keys[j] and apart.sum() <= 50 and (chain <= np.arange(1, 12) * 50 / 11).all()
+
+        linked = {(int(min(x)), int(max(x))) for i, j in simhash.bucket_links(keys, words, check) for x in zip(i, j, strict=True)}
+        assert all(close(a, b) for a, b in linked)
+        assert plain_components(range(2 * size), lambda a, b: (a, b) in linked) == plain_components(range(2 * size), close)
+
+
+def test_wide_links_in_hot_buckets(spark):
+    """Pairs around one hot passage: a bucket's smallest member is mostly too far from the others, which are close in pairs."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 2, 256).astype(np.uint8)
+    centres = [flipped(rng, passage, 18) for _ in range(1500)]
+    bits = np.array([flipped(rng, c, 20) for c in centres for _ in range(2)])
+    words = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    order = rng.permutation(len(bits))
+    frame = spark.createDataFrame([(int(order[i]), [int(x) for x in w]) for i, w in enumerate(words)], "id long, words array<long>")
+    got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.wide_links(frame, 42).collect()}
+    row_of = np.argsort(order)
+    assert all((bits[row_of[u]] ^ bits[row_of[v]]).sum() <= 42 for u, v in got)
+    layout, limit = simhash.rings(256, *simhash.ring_plan(len(bits))[::-1]), np.arange(1, 12) * 42 / 11
+
+    def meets(apart):
+        by_seg = [[int(apart[seg].sum()) for seg in ring] for ring in layout]
+        return any(row[i] == 0 and (np.cumsum(row[i:] + row[:i]) <= limit).all() for row in by_seg for i in range(11))
+
+    apart = bits[0::2] ^ bits[1::2]
+    want = {tuple(sorted((int(order[2 * g]), int(order[2 * g + 1])))) for g in range(1500) if apart[g].sum() <= 42 and meets(apart[g])}
+    roots = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(sorted(got), "u long, v long")).collect()}
+    assert len(want) > 1000
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in want)
+
+
 def test_wide_mode_keeps_unlike_texts(spark, docs, texts):
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
