@@ -291,16 +291,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:
-    """``docs`` with one row, that of the smallest id, for each group of near duplicates.
+    """``docs`` with one row for each group of near duplicates: that of the smallest id, then of the smallest row hash.
 
-    Wide mode on 256 bits. Rows that share an id are one document: one of them stays.
+    Wide mode on 256 bits. Only texts are compared: rows of different texts stay apart though their ids are
+    null or equal. A null id comes last.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    fps = staged(with_fingerprints(docs.select(key.alias("id"), F.col(text).alias("text")), "text", shingle, 4, "words").select("id", "words"), "simhash")
-    copies = fps.groupBy("words").agg(F.min("id").alias("first_id"))
-    distinct = copies.select(F.col("first_id").alias("id"), "words").groupBy("id").agg(F.first("words").alias("words"))
-    roots = connected_components(wide_links(staged(distinct, "distinct"), max_bits))
-    keep = copies.select(F.col("first_id").alias("id")).distinct().join(roots, F.col("id") == F.col("node"), "left_anti")
-    one = docs.withColumn("_quill_key", key).join(keep.select(F.col("id").alias("_quill_key")), "_quill_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_quill_key").orderBy(F.length(text)))
-    return one.withColumn("_quill_n", first).where("_quill_n = 1").drop("_quill_n", "_quill_key")
+    whole = F.unhex(F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), whole.alias("row")).alias("rank"), F.col(text).alias("text"))
+    fps = staged(with_fingerprints(rows, "text", shingle, 4, "words").select("rank", "words"), "simhash")
+    copies = fps.groupBy("words").agg(F.min("rank").alias("rank"))
+    distinct = staged(copies.withColumn("id", F.monotonically_increasing_id()), "distinct")  # written once: the numbers stay
+    roots = connected_components(wide_links(distinct.select("id", "words"), max_bits))
+    rooted = distinct.select("id", "rank").join(roots, F.col("id") == F.col("node"), "left")
+    keep = rooted.groupBy(F.coalesce("root", "id")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_quill_row"))
+    return docs.withColumn("_quill_row", whole).join(keep, "_quill_row", "left_semi").dropDuplicates(["_quill_row"]).drop("_quill_row")

@@ -205,6 +205,16 @@ def test_wide_mode_keeps_unlike_texts(spark, docs, texts):
         assert max(len(shingles[i] & s) / max(1, len(shingles[i] | s)) for j, s in shingles.items() if j != i) >= 0.6 or texts[i] in [t for j, t in texts.items() if j != i]
 
 
+def test_wide_mode_keeps_unlike_texts_of_null_or_equal_ids(spark):
+    texts = [t for _, t in variants(n_groups=12, copies=1)[0]]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:9]] + [(8, texts[9]), (9, texts[0]), (None, texts[10]), (None, texts[10]), (10, texts[11]), (3, texts[11])]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["text"] for r in got) == Counter(texts)
+    ids = {r["text"]: r["doc_id"] for r in got}
+    assert ids[texts[0]] == 9  # an id goes before none
+    assert ids[texts[11]] == 3
+
+
 def test_wide_mode_awkward(awkward, empty):
     got = Counter(r["doc_id"] for r in simhash.drop_near_duplicates(awkward).collect())
     assert got[6] == got[4] == got[7] == got[8] == 1
