@@ -33,8 +33,10 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 #: Content that is never text.
-_DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video textarea head title select".split())
+_DROPPED = frozenset("script style noscript template iframe object svg canvas audio video textarea head title select".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
+#: Start tags that may stand in a head; any other ends it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open tag of its group, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -83,7 +85,13 @@ def blocks(page: str | None) -> list[Block]:
         while len(stack) > depth:
             state["dropped"] -= stack.pop()[0] in _DROPPED
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     def say(text: str) -> None:
+        if text.strip():
+            end_head()
         if text and not state["dropped"]:
             parts.append(text)
             if any(tag == "a" for tag, _ in stack):
@@ -113,6 +121,8 @@ def blocks(page: str | None) -> list[Block]:
                 if tag not in BLOCK_TAGS and stack[depth][0] in BLOCK_TAGS:
                     break  # an inline end tag doesn't reach past its block
             continue
+        if tag not in _IN_HEAD:
+            end_head()
         if tag in _ENDS_P:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p":

@@ -402,6 +402,14 @@ def test_op7_cases(spark):
     assert html.with_main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>T</title><body>", "<head><meta charset=utf-8><style>p {}</style><script>x('<p>')</script>", "<html><head><title>T</title></head><body>", "<html><head><template><p>No</p></template><body>"])
+def test_op7_omitted_head_end_and_math(start):
+    page = start + "<article><p>Hi there, this is a text.</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+    assert [b.text for b in html.blocks(page)] == ["Hi there, this is a text.", "So x=2 holds."]
+    assert html.main_text(page, html.trained()) == "Hi there, this is a text.\n\nSo x=2 holds."
+    assert [b.text for b in html.blocks("<head>Bare text")] == ["Bare text"]
+
+
 def plain_stats(text):
     import re
 
