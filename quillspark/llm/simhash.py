@@ -11,15 +11,20 @@ and the first two differ in at most one bit. The join key is the start with
 both segments; one side of the join enumerates the one-bit variants of the
 second. No link is lost and no bucket's rows are paired by brute force.
 
-Wide mode (``wide_links``): for a low similarity the budget is a large share of
-the bits and no segment need be equal. Fingerprints of 256 bits are laid on
-several rings (fixed permutations of the bits); a candidate must share a whole
-segment, keep within the budgets along the chain that starts there, and pass the
-full check. All members of a bucket that do so are linked, directly or through
-one another. This is a probabilistic filter; the README gives its measured recall.
-
-Equal fingerprints are collapsed first, so copies never meet in a join. Only
-aggregates, equi-joins and components on fingerprints follow.
+Wide mode (``drop_near_duplicates``): for a Jaccard similarity of shingle sets.
+There the budget is a large share of the bits and no segment need be equal.
+Fingerprints of 256 bits are laid on several rings (fixed permutations of the
+bits); a candidate must share a whole segment, keep within the budgets along the
+chain that starts there, and pass the full check. Of the candidates those are
+links whose shingle sets are similar enough, so the filter loses some pairs just
+over the limit (the README gives its measured recall) but joins none under it.
+A small bucket's members are compared pair by pair. In a larger one they are
+first compared with a few leaders of their block; where the bucket then still
+holds several components, members outside the largest are compared with the
+whole bucket, block by block.
+
+Equal fingerprints (wide mode: equal shingle sets) are collapsed first, so
+copies never meet in a join. Only aggregates, equi-joins and components follow.
 
 Defined results: a null or blank text has fingerprint zero, and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows share
@@ -30,6 +35,8 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import comb, prod
 
@@ -45,23 +52,33 @@ from quillspark.session import small_batches, staged
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 8192
 
-#: Differing bits of 256 that stand for a cosine of at least 0.86 between shingle counts, a little under
-#: that of texts with a Jaccard similarity of 0.8 (cosine 0.89), to allow for the fingerprint's own spread.
-WIDE_BITS = 50
+#: Differing bits of 256 that a candidate may have. At a Jaccard similarity of 0.8 each bit differs with
+#: probability ``WIDE_CHANCE`` (arccos(2 * 0.8 / 1.8) / pi), so 39 on average; 56 are three deviations more.
+WIDE_BITS, WIDE_CHANCE = 56, 0.1515
+#: Share of such pairs that the rings must bring into a common bucket.
+WIDE_RECALL = 0.95
 
 
-def fingerprint(text: str | None, shingle: int, words64: int = 1) -> list[int]:
-    """Fingerprint of one text as signed 64-bit words; bit i of a word is set if over half the hashes set it."""
-    words = (text or "").encode().translate(_LOWER).split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
+
+
+def _hashed(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles, in blocks; a text of fewer words is one shingle, none has none."""
     if not words:
-        return [0] * words64
-    n = max(1, len(words) - shingle + 1)
-    counts = np.zeros((words64, 64), dtype=np.int64)
-    for start in range(0, n, _BLOCK):
+        return
+    for start in range(0, max(1, len(words) - shingle + 1), _BLOCK):
         part = words[start : start + _BLOCK + shingle - 1]
         rows = zip(*(part[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [part]
         digest, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = np.fromiter((digest(join(x), 42) for x in rows), dtype=np.uint64)
+        yield np.fromiter((digest(join(x), 42) for x in rows), dtype=np.uint64)
+
+
+def _majority(blocks: Iterable[np.ndarray], words64: int) -> list[int]:
+    """Signed 64-bit words, of which a bit is set if over half the hashes set it; without hashes zero."""
+    counts, n = np.zeros((words64, 64), dtype=np.int64), 0
+    for hashes in blocks:
+        n += len(hashes)
         for k in range(words64):
             if k:  # further words: a fixed mix of the first
                 hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
@@ -72,6 +89,22 @@ def fingerprint(text: str | None, shingle: int, words64: int = 1) -> list[int]:
     return [int(x) for x in packed.astype(np.uint64).view(np.int64)]
 
 
+def fingerprint(text: str | None, shingle: int, words64: int = 1) -> list[int]:
+    """Fingerprint of one text, repeated shingles counted each time."""
+    return _majority(_hashed(_words(text), shingle), words64)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_hashed(_words(text), shingle)]))
+
+
+def sketch(text: str | None, shingle: int, words64: int = 4) -> tuple[bytes, list[int]]:
+    """A digest of the set of shingles, and the fingerprint of that set."""
+    hashes = shingle_hashes(text, shingle)
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), _majority((hashes[i : i + _BLOCK] for i in range(0, len(hashes), _BLOCK)), words64)
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, words64: int = 1, name: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint column ``name``: a long, or an array of longs for more than 64 bits."""
     small_batches(docs.sparkSession)
@@ -121,15 +154,6 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return probes.join(stored, ["i", "a", "b"]).where("u < v").where(within).select("u", "v")
 
 
-def _ring_segment(words: Column, bits: list[int]) -> Column:
-    """The chosen bits of an array of longs as one long."""
-    value = None
-    for k, bit in enumerate(bits):
-        one = F.shiftleft(F.shiftrightunsigned(words[bit // 64], bit % 64).bitwiseAND(F.lit(1).cast("long")), k)
-        value = one if value is None else value.bitwiseOR(one)
-    return value
-
-
 def rings(total_bits: int, n_rings: int, m: int) -> list[list[list[int]]]:
     """Per ring, m segments of bit numbers: permutations by fixed odd strides."""
     out = []
@@ -142,20 +166,19 @@ def rings(total_bits: int, n_rings: int, m: int) -> list[list[list[int]]]:
 
 @lru_cache(maxsize=1)
 def ring_counts() -> dict[int, int]:
-    """Rings by segments per ring, for which pairs at a similarity of 0.8 are found as often as by 12 rings of 11 segments.
+    """Rings by segments per ring, as many as bring ``WIDE_RECALL`` of the pairs at a similarity of 0.8 into a common bucket.
 
-    Of such a pair's 256 bits each differs with probability 0.15; it is found if a segment, of the ring's real
-    width, has no differing bit. Pairs with more than 50 differing bits are no links.
+    Each of such a pair's 256 bits differs with ``WIDE_CHANCE``; it shares a bucket if a segment, of the ring's
+    real width, has no differing bit.
     """
-    share = {d: comb(256, d) * 0.15**d * 0.85 ** (256 - d) for d in range(WIDE_BITS + 1)}
+    share = {d: comb(256, d) * WIDE_CHANCE**d * (1 - WIDE_CHANCE) ** (256 - d) for d in range(WIDE_BITS + 1)}
 
-    def missed(m: int, n_rings: int) -> float:
+    def found(m: int, n_rings: int) -> float:
         widths = [256 * (i + 1) // m - 256 * i // m for i in range(m)]
         unequal = {d: prod(1 - comb(256 - w, d) / comb(256, d) for w in widths) for d in share}
-        return sum(share[d] * unequal[d] ** n_rings for d in share)
+        return sum(share[d] * (1 - unequal[d] ** n_rings) for d in share)
 
-    least = missed(11, 12)
-    return {m: next(n for n in range(12, 10_000) if missed(m, n) <= least) for m in range(11, 6, -1)}
+    return {m: next(n for n in range(4, 10_000) if found(m, n) >= WIDE_RECALL) for m in range(13, 6, -1)}
 
 
 def ring_plan(rows: int) -> tuple[int, int]:
@@ -173,69 +196,86 @@ def ring_plan(rows: int) -> tuple[int, int]:
     return m, ring_counts()[m]
 
 
-def _chain_check(layout: list[list[list[int]]], max_bits: int):  # noqa: ANN202
-    """A function of differing bits (rows of 64-bit words) and starts: do they keep within the budgets, chains and all?"""
+def _ring_starts(layout: list[list[list[int]]]) -> np.ndarray:
+    """Masks of the chains: [start, length - 1, word], starts numbered over all rings."""
     m, total_bits = len(layout[0]), sum(map(len, layout[0]))
-    masks = np.zeros((len(layout) * m, m, total_bits // 64), dtype=np.uint64)  # per start, of each chain
+    masks = np.zeros((len(layout) * m, m, total_bits // 64), dtype=np.uint64)
     for r, ring in enumerate(layout):
         for i in range(m):
             for length in range(m):
                 masks[r * m + i, length] = masks[r * m + i, length - 1] if length else 0
                 for bit in ring[(i + length) % m]:
                     masks[r * m + i, length, bit // 64] |= np.uint64(1 << 63 - bit % 64)
-    limit = np.arange(1, m + 1) * max_bits / m
+    return masks
+
+
+def _chain_check(layout: list[list[list[int]]], max_bits: int):  # noqa: ANN202
+    """A function of differing bits (rows of 64-bit words) and starts: the rows whose every chain keeps within its budget.
+
+    Chains are grown by one segment at a time and drop rows as they go; the last is the whole ring, that is the
+    full Hamming check.
+    """
+    masks = _ring_starts(layout)
+    limit = np.arange(1, masks.shape[1] + 1) * max_bits / masks.shape[1]
 
     def check(apart: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= max_bits
-        near = np.flatnonzero(ok)
-        for at in range(0, len(near), 4096):
-            part = near[at : at + 4096]
-            chains = np.bitwise_count(apart[part, None, :] & masks[starts[part]]).sum(axis=2, dtype=np.int64)
-            ok[part] = (chains <= limit).all(axis=1)
-        return ok
+        left = np.arange(len(apart))
+        for length in range(1, masks.shape[1]):
+            left = left[np.bitwise_count(apart[left] & masks[starts[left], length]).sum(axis=1, dtype=np.int64) <= limit[length]]
+        return left
 
     return check
 
 
-#: Buckets of up to so many members are compared pair by pair.
-SMALL_BUCKET = 8
+#: Buckets of up to so many members are compared pair by pair; larger ones with ``LEADERS`` of each block.
+SMALL_BUCKET, LEADERS = 64, 8
+#: Members that a block of a larger bucket holds on average: what a task keeps in memory.
+BLOCK = 4096
 
 
-def bucket_links(keys: np.ndarray, words: np.ndarray, check) -> list[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
-    """Row numbers of links between rows of equal key (rows come in order of key).
+def _spans(*columns: np.ndarray) -> np.ndarray:
+    """Row numbers at which a run of equal values in all ``columns`` starts, and the end."""
+    n = len(columns[0])
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), n)
 
-    Every two rows of a bucket that pass ``check`` are linked directly or through others of the bucket. In a
-    large bucket each row reached is compared with all not reached yet, so copies of one text take one pass.
-    """
-    def passes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return check(words[i] ^ words[j], keys[i] >> 48)
 
+def block_links(keys: np.ndarray, blocks: np.ndarray, words: np.ndarray, check) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """(i, j, differing bits) of row numbers in one block (rows come in order of key and block).
+
+    In a small bucket all pairs that pass ``check``; in a larger one each member's nearest of the block's leaders,
+    its first rows, and all pairs of leaders.
+    """
+    spans = _spans(keys, blocks)
+    sizes = np.diff(spans)
+    end = np.repeat(spans[1:], sizes)
+    reach = np.where(np.repeat(sizes, sizes) <= SMALL_BUCKET, end, np.minimum(end, np.repeat(spans[:-1], sizes) + LEADERS))
     found = []
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    size_of = np.repeat(sizes, sizes)
-    for step in range(1, min(SMALL_BUCKET, len(keys))):
-        i = np.flatnonzero((keys[step:] == keys[:-step]) & (size_of[step:] <= SMALL_BUCKET))
-        i = i[passes(i, i + step)]
-        found.append((i, i + step))
-    for start, size in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
-        todo = np.arange(start, start + size)
-        while len(todo) > 1:
-            reached, todo = [todo[0]], todo[1:]
-            while reached and len(todo):
-                own = np.full(len(todo), reached.pop())
-                hit = passes(own, todo)
-                found.append((own[hit], todo[hit]))
-                reached.extend(todo[hit])
-                todo = todo[~hit]
-    return found
-
-
-def wide_links(fps: DataFrame, max_bits: int, total_bits: int = 256) -> DataFrame:
-    """(u, v) ids of ``fps(id, words)`` with a shared segment and budgets kept: all such pairs are joined, directly or by way of others."""
-    m, n_rings = ring_plan(fps.count())
-    layout = rings(total_bits, n_rings, m)
-    n = total_bits // 64
+
+    def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart = words[i] ^ words[j]
+        near = check(apart, keys[i] >> 48)
+        return i[near], j[near], np.bitwise_count(apart[near]).sum(axis=1, dtype=np.int64)
+
+    i, step = np.arange(len(keys)), 1
+    while len(i := i[i + step < reach[i]]):
+        found.append(passing(i, i + step))
+        step += 1
+    for start, size in zip(spans[:-1][sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+        members = np.arange(start + LEADERS, start + size)
+        i, j, bits = passing(np.repeat(np.arange(start, start + LEADERS), len(members)), np.tile(members, LEADERS))
+        order = np.lexsort((bits, j))
+        first = order[np.append(True, j[order][1:] != j[order][:-1])] if len(order) else order
+        found.append((i[first], j[first], bits[first]))
+    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (zip(*found, strict=True) if found else [[], [], []]))
+
+
+def shared_keys(fps: DataFrame, layout: list[list[list[int]]]) -> DataFrame:
+    """key, id, n: the segments that n > 1 rows of ``fps(id, words)`` share; a key names ring, start and bits."""
+    m, n = len(layout[0]), sum(map(len, layout[0])) // 64
 
     @F.pandas_udf("array<long>")
     def keys(words: pd.Series) -> pd.Series:
@@ -243,41 +283,101 @@ def wide_links(fps: DataFrame, max_bits: int, total_bits: int = 256) -> DataFram
             return pd.Series([], dtype=object)
         mat = np.stack(words.to_numpy()).astype(np.int64).astype(">i8").view(np.uint8).reshape(-1, 8 * n)
         bits = np.unpackbits(mat, axis=1)
-        cols = []
+        out = np.empty((len(words), len(layout) * m), dtype=np.int64)
         for r, ring in enumerate(layout):
             for i, seg in enumerate(ring):
-                value = bits[:, seg].astype(np.int64) @ (np.int64(1) << np.arange(len(seg), dtype=np.int64))
-                cols.append(value + (np.int64(r * m + i) << 48))
-        return pd.Series(list(np.stack(cols, axis=1)))
+                out[:, r * m + i] = bits[:, seg].astype(np.int64) @ (np.int64(1) << np.arange(len(seg), dtype=np.int64)) + (np.int64(r * m + i) << 48)
+        return pd.Series(list(out))
+
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed spread before rows multiply
+    keyed = fps.repartition(parts, F.xxhash64("id")).select("id", F.explode(keys("words")).alias("key")).repartition(parts, "key")
+    return staged(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "keys")
 
-    def link(batches):  # noqa: ANN001, ANN202
-        check = _chain_check(layout, max_bits)
-        open_: list[np.ndarray] = []  # rows of the bucket that may go on in the next batch
 
-        def links_of(rows: np.ndarray) -> pd.DataFrame:
-            pairs = bucket_links(rows[:, 0], rows[:, 2:].view(np.uint64), check) if len(rows) else []
-            i, j = (np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, dtype=np.int64) for k in (0, 1))
-            return pd.DataFrame({"u": rows[i, 1], "v": rows[j, 1]})
+def _in_blocks(rows: DataFrame, run, schema: str, *by: str) -> DataFrame:  # noqa: ANN001
+    """``run`` on whole groups of ``by``, longs only, in order of ``by`` and then of the other columns; many small groups at once."""
 
+    def walk(batches):  # noqa: ANN001, ANN202
+        open_: list[np.ndarray] = []  # rows of the group that may go on in the next batch
         for batch in batches:
-            rows = np.ascontiguousarray(batch.to_numpy(dtype=np.int64))
-            if not len(rows):
+            mat = np.ascontiguousarray(batch.to_numpy(dtype=np.int64))
+            if not len(mat):
                 continue
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if cut or open_ and open_[0][0, 0] != rows[-1, 0]:
-                yield links_of(np.concatenate([*open_, rows[:cut]]))
+            cut = int(_spans(*mat[:, : len(by)].T)[-2])
+            if open_ and (cut or (open_[0][0, : len(by)] != mat[-1, : len(by)]).any()):
+                yield run(np.concatenate([*open_, mat[:cut]]))
                 open_ = []
-            open_.append(rows[cut:])
+            elif cut:
+                yield run(mat[:cut])
+            open_.append(mat[cut:])
         if open_:
-            yield links_of(np.concatenate(open_))
+            yield run(np.concatenate(open_))
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a fixed spread before rows multiply
-    keyed = fps.repartition(parts, F.xxhash64("id")).select("id", F.explode(keys("words")).alias("key")).repartition(parts, "key")
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "id")
-    words = fps.select("id", *(F.col("words")[k].alias(f"w{k}") for k in range(n)))
-    members = shared.join(words, "id").select("key", "id", *(f"w{k}" for k in range(n)))
-    return members.repartition(parts, "key").sortWithinPartitions("key", "id").mapInPandas(link, "u long, v long").distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, "order").mapInPandas(walk, schema)
+
+
+def _words_of(fps: DataFrame, n: int) -> list[Column]:
+    return [F.col("words")[k].alias(f"w{k}") for k in range(n)]
+
+
+def near_links(fps: DataFrame, shared: DataFrame, layout: list[list[list[int]]], max_bits: int) -> DataFrame:
+    """(u, v, bits), u < v: candidates within the blocks of all buckets, by chains and Hamming distance."""
+    n = sum(map(len, layout[0])) // 64
+    block = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    members = shared.join(fps.select("id", *_words_of(fps, n)), "id")
+    rows = members.select("key", block.alias("block"), F.xxhash64("key", "id").alias("order"), "id", *(f"w{k}" for k in range(n)))
+
+    def run(mat: np.ndarray) -> pd.DataFrame:
+        i, j, bits = block_links(mat[:, 0], mat[:, 1], mat[:, 4:].view(np.uint64), _chain_check(layout, max_bits))
+        a, b = mat[i, 3], mat[j, 3]
+        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b), "bits": bits})
+
+    return _in_blocks(rows, run, "u long, v long, bits long", "key", "block").distinct()
+
+
+def cross_links(fps: DataFrame, shared: DataFrame, roots: DataFrame, layout: list[list[list[int]]], max_bits: int) -> DataFrame:
+    """(u, v, bits), u < v: for the larger buckets, each member's nearest candidate in every other component of its bucket.
+
+    Members outside the bucket's largest component are compared with the whole bucket, in blocks by blocks.
+    """
+    n = sum(map(len, layout[0])) // 64
+    rooted = shared.where(F.col("n") > SMALL_BUCKET).join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = staged(rooted, "rooted")
+    per = rooted.groupBy("key", "root", "n").agg(F.count("*").alias("c"))
+    open_ = per.groupBy("key", "n").agg(F.max(F.struct("c", "root")).alias("top")).where(F.col("top.c") < F.col("n"))
+    open_ = open_.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("asks"))
+    rows = rooted.join(open_, "key").join(fps.select("id", *_words_of(fps, n)), "id")
+    deal = lambda of: F.pmod(F.xxhash64("id", "key"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    own = ["key", "id", "root", *(f"w{k}" for k in range(n))]
+    held = rows.select(*own, deal("blocks").alias("block"), every("asks").alias("ask"), F.lit(0).alias("asked"))
+    asked = rows.where("root <> main").select(*own, deal("asks").alias("ask"), every("blocks").alias("block"), F.lit(1).alias("asked"))
+    both = held.unionByName(asked).select("key", "block", "ask", F.col("asked").alias("order"), "id", "root", *(f"w{k}" for k in range(n)))
+
+    def run(mat: np.ndarray) -> pd.DataFrame:
+        check, out = _chain_check(layout, max_bits), [np.zeros((0, 3), dtype=np.int64)]
+        spans = _spans(mat[:, 0], mat[:, 1], mat[:, 2])
+        for start, end in zip(spans[:-1], spans[1:], strict=True):
+            group = mat[start:end]
+            first = int(np.searchsorted(group[:, 3], 1))
+            words = group[:, 6:].view(np.uint64)
+            for q in range(first, len(group)):
+                others = np.flatnonzero(group[:first, 5] != group[q, 5])
+                apart = words[others] ^ words[q]
+                near = check(apart, np.full(len(others), group[q, 0] >> 48))
+                if len(near):
+                    bits = np.bitwise_count(apart[near]).sum(axis=1, dtype=np.int64)
+                    j = others[near]
+                    order = np.lexsort((bits, group[j, 5]))
+                    roots_ = group[j[order], 5]
+                    best = order[np.append(True, roots_[1:] != roots_[:-1])]
+                    a, b = group[q, 4], group[j[best], 4]
+                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b), bits[best]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["u", "v", "bits"])
+
+    return _in_blocks(both, run, "u long, v long, bits long", "key", "block", "ask").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -290,18 +390,103 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:
+#: Bits of the bitmap that spares most rows a shuffle; it is a filter only, an exact join follows.
+BITMAP = 1 << 25
+
+
+def _place(row: Column) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(BITMAP))
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the places of all values of ``column``: ``BITMAP`` / 8 bytes, however many there are."""
+    place = _place(F.col(column)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((BITMAP // 32768, 4096), dtype=np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["at"] - 1] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _maybe(bits, row: Column) -> Column:  # noqa: ANN001
+    """Whether ``row`` may be among the values of the broadcast bitmap ``bits``; false is certain."""
+    test = F.pandas_udf(lambda at: pd.Series((bits.value[at.to_numpy() >> 3] >> (at.to_numpy() & 7) & 1).astype(bool)), "boolean")
+    return test(_place(row))
+
+
+def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """id, n, hashes: the 32-bit hashes of the distinct shingles of ``rows(row, text)`` for the rows of ``wanted(id, row)``.
+
+    Texts are read, not shuffled: a bitmap of the wanted rows tells nearly all others apart.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "row"))
+
+    @F.pandas_udf("array<int>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(x, shingle).astype(np.uint32)).view(np.int32) for x in texts])
+
+    found = rows.where(_maybe(bits, F.col("row"))).select("row", hashed("text").alias("hashes"))
+    # repeated rows hold one text: any of them will do
+    return staged(wanted.join(found, "row").groupBy("id").agg(F.first("hashes").alias("hashes")).withColumn("n", F.size("hashes")), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of ``pairs`` whose shingle sets have at least this Jaccard similarity; two empty sets are alike."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
+    sizes = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    fit = pairs.select("u", "v").join(sizes("u"), "u").join(sizes("v"), "v").where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v")
+    both = F.size(F.array_intersect("hu", "hv"))
+    return fit.join(side("u"), "u").join(side("v"), "v").where(both >= (F.col("nu") + F.col("nv") - both) * similarity).select("u", "v")
+
+
+def near_duplicate_classes(distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float, max_bits: int = WIDE_BITS) -> DataFrame:
+    """(node, root) of ``distinct(id, row, words)``: components of candidates whose texts in ``rows`` are similar enough.
+
+    Each row's two nearest candidates are verified first; of the others, only those between different components.
+    """
+    fps = distinct.select("id", "words")
+    m, n_rings = ring_plan(fps.count())
+    layout = rings(256, n_rings, m)
+    shared = shared_keys(fps, layout)
+    near = staged(near_links(fps, shared, layout, max_bits), "near")
+    ends = near.select(F.col("u").alias("id")).union(near.select("v")).union(shared.where(F.col("n") > SMALL_BUCKET).select("id")).distinct()
+    sets = shingle_sets(rows, distinct.join(ends, "id", "left_semi").select("id", "row"), shingle)
+    both = near.select(F.col("u").alias("a"), F.col("v").alias("b"), "bits").union(near.select("v", "u", "bits"))
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))).where("r <= 2")
+    first = best.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    roots = staged(connected_components(verified(first, sets, similarity)), "roots")
+    more = near.select("u", "v").union(cross_links(fps, shared, roots, layout, max_bits).select("u", "v"))
+    across = more.join(roots.alias("ru"), F.col("u") == F.col("ru.node"), "left").join(roots.alias("rv"), F.col("v") == F.col("rv.node"), "left")
+    across = across.select("u", "v", F.coalesce("ru.root", "u").alias("a"), F.coalesce("rv.root", "v").alias("b")).where("a <> b").distinct()
+    across = staged(across, "across")
+    joined = verified(across, sets, similarity).join(across, ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    later = connected_components(joined).select(F.col("node").alias("mid"), F.col("root").alias("top"))
+    inner = roots.join(later, roots.root == later.mid, "left").select("node", F.coalesce("top", "root").alias("root"))
+    known = later.join(roots, F.col("mid") == F.col("node"), "left_anti").select(F.col("mid").alias("node"), F.col("top").alias("root"))
+    return inner.union(known)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row for each group of near duplicates: that of the smallest id, then of the smallest row hash.
 
-    Wide mode on 256 bits. Only texts are compared: rows of different texts stay apart though their ids are
-    null or equal. A null id comes last.
+    Wide mode on 256 bits, verified. Only texts are compared: rows of different texts stay apart though their ids
+    are null or equal. A null id comes last. Rows that are kept and occur once are not shuffled.
     """
+    small_batches(docs.sparkSession)
     whole = F.unhex(F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), whole.alias("row")).alias("rank"), F.col(text).alias("text"))
-    fps = staged(with_fingerprints(rows, "text", shingle, 4, "words").select("rank", "words"), "simhash")
-    copies = fps.groupBy("words").agg(F.min("rank").alias("rank"))
-    distinct = staged(copies.withColumn("id", F.monotonically_increasing_id()), "distinct")  # written once: the numbers stay
-    roots = connected_components(wide_links(distinct.select("id", "words"), max_bits))
+    rows = docs.select(whole.alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    sketched = F.pandas_udf(lambda s: pd.DataFrame([sketch(x, shingle) for x in s], columns=["set", "words"]), "set binary, words array<long>")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("rank")
+    fps = staged(rows.select(rank, sketched("text").alias("s")).select("rank", "s.*"), "simhash")
+    copies = fps.groupBy("set").agg(F.min("rank").alias("rank"), F.min("words").alias("words"))
+    distinct = staged(copies.withColumn("id", F.monotonically_increasing_id()).withColumn("row", F.col("rank.row")), "distinct")  # written once: the numbers stay
+    roots = near_duplicate_classes(distinct, rows.select("row", "text"), shingle, similarity)
     rooted = distinct.select("id", "rank").join(roots, F.col("id") == F.col("node"), "left")
-    keep = rooted.groupBy(F.coalesce("root", "id")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_quill_row"))
-    return docs.withColumn("_quill_row", whole).join(keep, "_quill_row", "left_semi").dropDuplicates(["_quill_row"]).drop("_quill_row")
+    keep = staged(rooted.groupBy(F.coalesce("root", "id")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_quill_row")), "keep")
+    counted = fps.groupBy(F.col("rank.row").alias("_quill_row")).agg(F.count("*").alias("n"))
+    suspect = counted.join(keep.withColumn("kept", F.lit(True)), "_quill_row", "left").where("n > 1 or kept is null")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(suspect, "_quill_row"))
+    marked = docs.withColumn("_quill_row", whole).withColumn("_quill_maybe", _maybe(bits, F.col("_quill_row")))
+    sure = marked.where(~F.col("_quill_maybe"))
+    rest = marked.where("_quill_maybe").join(keep, "_quill_row", "left_semi").dropDuplicates(["_quill_row"])
+    return sure.unionByName(rest).drop("_quill_row", "_quill_maybe")
