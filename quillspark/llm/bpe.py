@@ -8,24 +8,30 @@ their union holds all that the fold needs; it is a literal, laid out as a cuckoo
 hash table of two arrays. Decoding concatenates the ids' binary
 pieces, from a literal array.
 
-The table of distinct pieces then serves the texts. While it has at most
-``BROADCAST_PIECES`` rows it is packed and broadcast; beyond that, texts are
-dealt into blocks, each block gets the entries that its texts hold through a
-join on pieces, and the two are co-grouped. Both ways give the same rows.
+The distinct pieces of a table without bound can't be broadcast, and texts need not be shuffled to meet
+them. So a first pass counts in how many places each piece occurs; of those that occur in more than one, the
+commonest, ``COMMON`` at most, are folded once and broadcast. A second pass writes texts as ids, with references to the
+pieces that are neither in the vocabulary nor common; each task folds those of its own once, by the same higher-order
+functions, and puts their ids in place of the references. What is common changes the work only, never the result,
+and no size takes another plan.
+
+The fold of a piece of n bytes works on arrays of n in n steps. Pieces of over ``LONG`` bytes (a run of letters without
+a break) are therefore merged with a heap in the task that holds them, with the same result.
 
 Defined results: a null text is encoded as an empty one, with no ids; repeated
-rows are encoded alike; an empty table gives an empty result; other columns pass
-through ``with_tokens`` untouched. A piece of n bytes takes n folds of arrays of
-n, so a run of letters without a break costs in proportion to its square; pieces
-of 16 MB and more are refused by an error.
+rows are encoded alike; an empty table gives an empty result; other columns, of any type, pass
+through untouched. Two session options are lowered while these plans run: rows an Arrow batch, and the length of plan
+descriptions, which would hold the literals.
 """
 
 from __future__ import annotations
 
 import base64
 import contextlib
+import copy
 import gc
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -42,10 +48,12 @@ from pyspark.sql import functions as F
 
 from quillspark.session import small_batches, staged
 
-#: Pieces up to which their table is broadcast: about 25 bytes each when packed.
-BROADCAST_PIECES = 6_000_000
-#: Bytes of text that one block holds on average where the pieces can't be broadcast.
-BLOCK_BYTES = 16_000_000
+#: Pieces that are folded once for the whole table and broadcast, at most: about 25 bytes each when packed.
+COMMON = 1 << 20
+#: Bytes of a piece beyond which merges are kept in a heap.
+LONG = 400
+#: Units whose codes a task keeps, references that it numbers, and characters of text that it looks up at a time.
+_MEMO, _REFERENCES, _GROUP = 600_000, 400_000, 200_000
 _MARKS = frozenset(".,;:!?")
 _NO_RANK, _EMPTY, _EDGE = 1 << 16, 1 << 60, (1 << 16) - 1
 
@@ -77,7 +85,7 @@ class Vocabulary:
         self._sizes, *tables = self._cuckoo(pairs)
         first = [self.ranks[bytes([i])] for i in range(256)] + [_EDGE]
         self._tables = [*tables, json.dumps([pairs.get(a << 32 | b << 16, _NO_RANK) << 40 | a for a in first for b in first])]
-        self._hex = json.dumps([p.hex() for p in self.pieces])
+        self._latin = json.dumps([p.decode("latin-1") for p in self.pieces])
 
     @staticmethod
     def _cuckoo(pairs: dict[int, int]) -> tuple[tuple[int, int], str, str]:
@@ -118,6 +126,16 @@ class Vocabulary:
         """Ids of one piece (a string column) as array<int>."""
         return self._literals(lambda tables, start: self._encode(tables, start, piece))
 
+    def encode_all(self, pieces: str, choose) -> Column:  # noqa: ANN001
+        """``choose(piece, its ids)`` for each of an array of pieces."""
+        return self._literals(lambda tables, start: F.transform(F.col(pieces), lambda p: choose(p, self._encode(tables, start, p))))
+
+    def plain(self) -> "Vocabulary":
+        """A copy without the fold's literals, to send to tasks."""
+        out = copy.copy(self)
+        out._tables, out._latin = [], ""
+        return out
+
     def _encode(self, tables: tuple[Column, Column], starts: Column, piece: Column) -> Column:
         """The state is one array of longs: rank of the pair with the next part, start of the part, its id.
 
@@ -148,9 +166,43 @@ class Vocabulary:
         return _let(_let(_let(codes, start), folded), lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda y: id_of(y).cast("int")))
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of an array<int> of ids."""
-        table = F.from_json(F.lit(self._hex), "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+        """The bytes of an array<int> of ids: its binary pieces, as strings of one character a byte, put together."""
+        table = F.from_json(F.lit(self._latin), "array<string>")
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
+
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of one piece by merges kept in a heap, for long ones."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        ends = list(range(1, len(piece) + 1))  # of the part that starts here
+        before = list(range(-1, len(piece) - 1))
+        dead = bytearray(len(piece) + 1)
+
+        def pair(at: int) -> None:
+            middle = ends[at]
+            if middle < len(piece):
+                rank = self.ranks.get(piece[at : ends[middle]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, at, middle, ends[middle]))
+
+        heap: list[tuple[int, int, int, int]] = []
+        for at in range(len(piece) - 1):
+            pair(at)
+        while heap:
+            _, at, middle, end = heapq.heappop(heap)
+            if dead[at] or dead[middle] or ends[at] != middle or ends[middle] != end:
+                continue
+            dead[middle], ends[at] = 1, end
+            if end < len(piece):
+                before[end] = at
+            pair(at)
+            if before[at] >= 0:
+                pair(before[at])
+        out, at = [], 0
+        while at < len(piece):
+            out.append(self.ranks[piece[at : ends[at]]])
+            at = ends[at]
+        return out
 
 
 @contextlib.contextmanager
@@ -200,135 +252,67 @@ class _Cutter:
         return self.cut.findall(unit[2:] if unit[:2] == "\0 " else " " + unit)
 
 
-def distinct_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", block: Column | None = None) -> DataFrame:
-    """The distinct pieces of all texts (with ``block``, of each block)."""
-    small_batches(docs.sparkSession)
+def piece_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """piece, n: the distinct pieces of all texts, and in how many places (tasks, mostly) each was met."""
     pattern = vocabulary.pattern
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter = _Cutter(pattern)
-        known: dict[int, set] = {}
-        sent: dict[int, set] = {}
+        seen: set = set()
+        gone: set = set()
         for batch in batches:
-            blocks: list[int] = []
-            out: list[str] = []
             with _uncollected():
-                for b, texts in batch.groupby("block", sort=False)["text"]:
-                    fresh: set = set()
-                    seen, gone = known.setdefault(b, set()), sent.setdefault(b, set())
-                    for value in texts:
-                        fresh.update(cutter.units(value or ""))
-                    fresh -= seen
-                    seen |= fresh
-                    new: set = set()
-                    for unit in fresh:
-                        new.update(cutter.pieces(unit))
-                    new -= gone
-                    gone |= new
-                    out += new
-                    blocks += [b] * len(new)
-            if sum(map(len, known.values())) > 800_000:
-                known.clear()
-            if sum(map(len, sent.values())) > 800_000:
-                sent.clear()
-            yield pd.DataFrame({"block": pd.Series(blocks, dtype="int32"), "piece": pd.Series(out, dtype="object")})
-
-    at = F.lit(0) if block is None else block
-    found = docs.select(at.cast("int").alias("block"), F.col(text).alias("text")).mapInPandas(cut, "block int, piece string")
-    return found.distinct() if block is not None else found.select("piece").distinct()
-
-
-def piece_table(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """piece, ids for each distinct piece, staged."""
-    return staged(pieces.select("piece", vocabulary.encode(F.col("piece")).alias("ids")), "pieces")
-
-
-_OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+                fresh: set = set()
+                for value in batch["text"]:
+                    fresh.update(cutter.units(value or ""))
+                fresh -= seen
+                seen |= fresh
+                new: set = set()
+                for unit in fresh:
+                    new.update(cutter.pieces(unit))
+                new -= gone
+                gone |= new
+            if len(seen) > 800_000:
+                seen.clear()
+            if len(gone) > 800_000:
+                gone.clear()
+            yield pd.DataFrame({"piece": pd.Series([x for x in new if len(x.encode()) <= LONG], dtype="object")})
+
+    return docs.select(F.col(text).alias("text")).mapInPandas(cut, "piece string").groupBy("piece").agg(F.count("*").alias("n"))
 
 
 class _Packed:
-    """Ids of pieces, found by the pieces' 64-bit hashes, which must differ."""
+    """Ids of pieces, found by the pieces' 64-bit hashes and told from other pieces by what they decode to."""
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
-        order = np.argsort(hashes)
+        order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        if len(hashes) > 1 and (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two pieces share a hash")
         ends = np.cumsum(sizes, dtype=np.int64)
-        self.starts, self.sizes, self.data = (ends - sizes)[order].astype(np.uint32), sizes[order].astype(np.uint32), ids.tobytes()
+        self.starts, self.sizes, self.data = (ends - sizes)[order].astype(np.uint32), sizes[order].astype(np.uint32), ids
 
-    @staticmethod
-    def hash(piece: str) -> int:
-        return xxhash.xxh64_intdigest(piece.encode(), 42)
-
-    def get(self, pieces: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each piece."""
+    def get(self, pieces: list[bytes], binary: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of each piece, or None if the table doesn't hold it."""
+        if not len(self.hashes) or not pieces:
+            return [None] * len(pieces)
         digest = xxhash.xxh64_intdigest
-        wanted = np.array([digest(p.encode(), 42) for p in pieces], dtype=np.uint64)
+        wanted = np.array([digest(p, 42) for p in pieces], dtype=np.uint64)
         order = np.argsort(wanted)  # sorted needles stay near each other in a large table
         at = np.empty(len(wanted), dtype=np.int64)
         at[order] = np.searchsorted(self.hashes, wanted[order])
-        if (at >= len(self.hashes)).any() or (self.hashes[at] != wanted).any():
-            raise KeyError("a piece is missing from the table")
-        starts = 2 * self.starts[at].astype(np.int64)
-        return [self.data[a:b] for a, b in zip(starts.tolist(), (starts + 2 * self.sizes[at]).tolist(), strict=True)]
-
-
-#: Units whose ids a worker keeps, and characters of text that it looks up at a time.
-_MEMO, _GROUP = 800_000, 200_000
-
-
-def _digest(texts: Iterator[str | None], table: _Packed, cutter: _Cutter, pieces: list[bytes], memo: dict[str, bytes]) -> list[tuple[int, str, str]]:
-    """(n_tokens, SHA-256 of ids, SHA-256 of what they decode to) of each text."""
-    rows: list[tuple[int, str, str]] = []
-    group: list[list[str]] = []
-    size = 0
-
-    def finish() -> None:
-        if len(memo) > _MEMO:
-            memo.clear()
-        looked = [list(map(memo.get, units)) for units in group]
-        gaps = [[i for i, x in enumerate(found) if x is None] for found in looked]
-        fresh = list({units[i] for units, own in zip(group, gaps, strict=True) for i in own})
-        counts, flat = [], []
-        for unit in fresh:
-            own = cutter.pieces(unit)
-            counts.append(len(own))
-            flat += own
-        coded = iter(table.get(flat))
-        for unit, n in zip(fresh, counts, strict=True):
-            memo[unit] = next(coded) if n == 1 else b"".join([next(coded) for _ in range(n)])
-        for units, found, own in zip(group, looked, gaps, strict=True):
-            for i in own:
-                found[i] = memo[units[i]]
-            ids, data, n = hashlib.sha256(), hashlib.sha256(), 0
-            for start in range(0, len(found), 65536):
-                block = np.frombuffer(b"".join(found[start : start + 65536]), dtype="<u2")
-                n += len(block)
-                ids.update(block.astype("<u4").tobytes())
-                data.update(b"".join(list(map(pieces.__getitem__, block.tolist()))))
-            rows.append((n, ids.hexdigest(), data.hexdigest()))
-        group.clear()
-
-    for value in texts:
-        group.append(cutter.units(value or ""))
-        size += len(value or "")
-        if size > _GROUP:
-            finish()
-            size = 0
-    finish()
-    return rows
+        at[at == len(self.hashes)] = 0
+        starts = self.starts[at].astype(np.int64)
+        out = [self.data[a:b] for a, b in zip(starts.tolist(), (starts + self.sizes[at]).tolist(), strict=True)]
+        same = (self.hashes[at] == wanted).tolist()
+        return [ids if ok and b"".join([binary[i] for i in ids.tolist()]) == p else None for ids, ok, p in zip(out, same, pieces, strict=True)]
 
 
 def _packed(pieces: DataFrame) -> _Packed:
-    """The whole table, gathered on the driver; for tables within ``BROADCAST_PIECES`` only."""
+    """A table of pieces and ids, ``COMMON`` rows at most, gathered on the driver."""
     two_bytes = F.transform("ids", lambda i: F.substr(F.hex(i.cast("long") + 65536), F.lit(2)))
-    rows = pieces.select(F.xxhash64("piece").alias("h"), F.unhex(F.array_join(two_bytes, "")).alias("ids"))
-    frame = rows.toArrow()
+    frame = pieces.select(F.xxhash64("piece").alias("h"), F.unhex(F.array_join(two_bytes, "")).alias("ids")).toArrow()
     sizes = pc.binary_length(frame["ids"]).to_numpy() // 2
     flat = np.concatenate([_bytes_of(chunk) for chunk in frame["ids"].chunks] or [np.zeros(0, np.uint8)])
     hashes = frame["h"].to_numpy().view(np.uint64)
-    del frame, rows
     return _Packed(hashes, sizes, flat.view(">u2").astype("<u2"))
 
 
@@ -340,51 +324,169 @@ def _bytes_of(chunk: pa.Array) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if len(chunk) else np.zeros(0, np.uint8)
 
 
-def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "tokens", broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
-    """``docs`` with a struct ``name``: n_tokens, SHA-256 of the ids as little-endian 32-bit integers, SHA-256 of the bytes that they decode to."""
-    context = docs.sparkSession.sparkContext
-    # the literals would otherwise stand whole in each plan's description, which the driver keeps
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
-    table = piece_table(distinct_pieces(docs, vocabulary, text), vocabulary)
-    pattern, binary = vocabulary.pattern, vocabulary.pieces
-    columns = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    if table.count() <= broadcast_pieces:
-        shared = context.broadcast(_packed(table))
-        memo: dict[str, bytes] = {}
-
-        def encode(texts: pd.Series) -> pd.DataFrame:
-            with _uncollected():
-                return pd.DataFrame(_digest(iter(texts), shared.value, _Cutter(pattern), binary, memo), columns=columns)
-
-        return docs.withColumn(name, F.pandas_udf(encode, _OUT)(F.col(text)))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(*docs.columns), F.lit(n_blocks)).cast("int")  # of all columns, to part copies under other ids
-    held = distinct_pieces(docs, vocabulary, text, block).join(table, "piece")
-    own = docs.columns
-
-    def join_block(texts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.array([_Packed.hash(p) for p in entries["piece"]], dtype=np.uint64)
-        sizes = np.array([len(x) for x in entries["ids"]], dtype=np.int64)
-        flat = np.concatenate([np.asarray(x, dtype="<u2") for x in entries["ids"]]) if len(entries) else np.zeros(0, dtype="<u2")
-        out = texts[own].copy()
-        out[name] = [dict(zip(columns, row, strict=True)) for row in _digest(iter(texts[text]), _Packed(hashes, sizes, flat), _Cutter(pattern), binary, {})]
-        return out
+def common_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", most: int = COMMON) -> _Packed:
+    """The commonest pieces of several bytes that occur in more than one place, ``most`` at most, folded."""
+    counts = staged(piece_counts(docs, vocabulary, text).where("n > 1"), "pieces")
+    level = F.floor(F.log2("n")).cast("int")
+    held, least = 0, 64
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):
+        held += r["c"]
+        if held > most:
+            break
+        least = r["level"]
+    chosen = counts.where(level >= least)
+    return _packed(staged(chosen.select("piece", vocabulary.encode(F.col("piece")).alias("ids")), "folded"))
+
+
+class _Coder:
+    """Writes texts as 32-bit codes: ids, and from 65,536 on references to pieces that are still to be folded."""
+
+    def __init__(self, vocabulary: Vocabulary, table: _Packed):
+        self.cutter, self.table = _Cutter(vocabulary.pattern), table
+        self.ranks, self.binary = vocabulary.ranks, vocabulary.pieces
+        self.memo: dict[str, bytes] = {}
+        self.sent: dict[bytes, int] = {}
+
+    def code(self, texts: Iterator[str | None]) -> Iterator[tuple[bytes, list[str], bool]]:
+        """(codes, new pieces, whether references start anew) of each text; a reference is to a piece of its own or of an earlier text."""
+        group: list[list[str]] = []
+        size = 0
+        for value in texts:
+            group.append(self.cutter.units(value or ""))
+            size += len(value or "")
+            if size > _GROUP:
+                yield from self._finish(group)
+                group, size = [], 0
+        yield from self._finish(group)
+
+    def _finish(self, group: list[list[str]]) -> Iterator[tuple[bytes, list[str], bool]]:
+        reset = len(self.sent) > _REFERENCES
+        if reset:
+            self.sent.clear()
+        if reset or len(self.memo) > _MEMO:
+            self.memo.clear()  # it holds references too
+        memo, sent, ranks = self.memo, self.sent, self.ranks
+        looked = [list(map(memo.get, units)) for units in group]
+        gaps = [[i for i, x in enumerate(found) if x is None] for found in looked]
+        fresh = list({units[i] for units, own in zip(group, gaps, strict=True) for i in own})
+        cut = [[p.encode() for p in self.cutter.pieces(unit)] for unit in fresh]
+        unknown = list({p for own in cut for p in own if p not in ranks})
+        ids = dict(zip(unknown, self.table.get(unknown, self.binary), strict=True))
+        new: list[str] = []
+        codes: dict[bytes, bytes] = {}
+        for piece, found in ids.items():
+            if found is None:
+                at = sent.get(piece)
+                if at is None:
+                    at = sent[piece] = len(sent)
+                    new.append(piece.decode())
+                codes[piece] = (65536 + at).to_bytes(4, "little")
+            else:
+                codes[piece] = found.astype("<u4").tobytes()
+        for unit, own in zip(fresh, cut, strict=True):
+            memo[unit] = b"".join([ranks[p].to_bytes(4, "little") if p in ranks else codes[p] for p in own])
+        for units, found, own in zip(group, looked, gaps, strict=True):
+            for i in own:
+                found[i] = memo[units[i]]
+            yield b"".join(found), new, reset
+            new, reset = [], False
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` struct<{_OUT.replace(' long', ':bigint').replace(' string', ':string')}>"
-    return docs.withColumn("_quill_block", block).groupBy("_quill_block").cogroup(held.groupBy("block")).applyInPandas(join_block, schema)
+class _Filler:
+    """Puts the ids of folded pieces in place of references; takes rows in the order in which ``_Coder`` gave them."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._start()
 
-def encode_ids(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the whole text's ids: pieces in order, joined with their table on piece and folded per row.
+    def _start(self) -> None:
+        self.n = self.used = 0
+        self.starts, self.sizes = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.flat = np.zeros(4096, dtype=np.uint32)
 
-    The general form, for reading ids back; rows must have distinct ids.
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), dtype=x.dtype)])
+
+    def take(self, new: list[str], sizes: np.ndarray, flat: np.ndarray, reset: bool) -> None:
+        if reset:
+            self._start()
+        if not len(new):
+            return
+        if (sizes == 0).any():  # long pieces, not folded
+            parts, at = [], 0
+            sizes = sizes.copy()
+            for i, n in enumerate(sizes.tolist()):
+                part = flat[at : at + n] if n else np.array(self.vocabulary.merged(new[i].encode()), dtype=np.uint32)
+                parts.append(part)
+                sizes[i] = len(part)
+                at += n
+            flat = np.concatenate(parts)
+        self.starts, self.sizes = self._room(self.starts, self.n + len(sizes)), self._room(self.sizes, self.n + len(sizes))
+        self.flat = self._room(self.flat, self.used + len(flat))
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(sizes), self.used + len(flat)
+
+    def fill(self, codes: bytes) -> np.ndarray:
+        """All ids of a text."""
+        given = np.frombuffer(codes, dtype="<u4")
+        at = np.flatnonzero(given >= 65536)
+        if not len(at):
+            return given
+        refs = given[at].astype(np.int64) - 65536
+        if refs.max() >= self.n:
+            raise ValueError("a reference came before its piece")
+        lengths = np.ones(len(given), dtype=np.int64)
+        lengths[at] = sizes = self.sizes[refs]
+        out = np.repeat(given, lengths)
+        to = np.repeat((np.cumsum(lengths) - lengths)[at], sizes)
+        step = np.arange(len(to)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[to + step] = self.flat[np.repeat(self.starts[refs], sizes) + step]
+        return out
+
+
+def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids", most: int = COMMON) -> DataFrame:
+    """``docs`` with a struct ``name``: ids (array<int>) of the whole text, and their SHA-256 as little-endian 32-bit integers.
+
+    The two functions of a task pass its rows on in order and share the numbering of references.
     """
-    small_batches(docs.sparkSession)
-    pieces = piece_table(distinct_pieces(docs, vocabulary, text), vocabulary)
-    pattern = vocabulary.pattern
-    cut = F.pandas_udf(lambda s: pd.Series([regex.findall(pattern, x or "") for x in s]), "array<string>")
-    spread = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(cut(F.col(text))).alias("pos", "piece"))
-    joined = spread.join(pieces.select("piece", "ids"), "piece", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
-    return joined.groupBy("doc_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    # the literals would otherwise stand whole in each plan's description, which the driver keeps
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")
+    shared = spark.sparkContext.broadcast((vocabulary.plain(), common_pieces(docs, vocabulary, text, most)))
+
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = _Coder(*shared.value)
+        for texts in batches:
+            with _uncollected():
+                yield pd.DataFrame(list(coder.code(iter(texts))), columns=["codes", "new", "reset"])
+
+    def fill(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        filler = _Filler(shared.value[0])
+        for batch in batches:
+            rows = []
+            for codes, new, reset, sizes, flat in zip(*batch, strict=True):
+                filler.take(new, np.asarray(sizes, dtype=np.int64), np.asarray(flat, dtype=np.uint32), reset)
+                ids = filler.fill(codes)
+                rows.append((ids.view(np.int32), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["ids", "sha256"])
+
+    coded = F.pandas_udf(code, "codes binary, new array<string>, reset boolean").asNondeterministic()
+    filled = F.pandas_udf(fill, "ids array<int>, sha256 string").asNondeterministic()
+    none = F.array().cast("array<int>")
+    folded = vocabulary.encode_all("_quill_code.new", lambda p, ids: F.when(F.octet_length(p) > LONG, none).otherwise(ids))
+    step = docs.withColumn("_quill_code", coded(F.col(text))).withColumn("_quill_ids", folded)
+    sizes = F.transform("_quill_ids", F.size)
+    out = step.withColumn(name, filled("_quill_code.codes", "_quill_code.new", "_quill_code.reset", sizes, F.flatten("_quill_ids")))
+    return out.drop("_quill_code", "_quill_ids")
+
+
+def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "tokens", most: int = COMMON) -> DataFrame:
+    """``docs`` with a struct ``name``: n_tokens, SHA-256 of the ids as little-endian 32-bit integers, SHA-256 of the bytes that they decode to."""
+    coded = with_ids(docs, vocabulary, text, "_quill_tokens", most)
+    ids = F.col("_quill_tokens.ids")
+    tokens = F.struct(F.size(ids).cast("long").alias("n_tokens"), F.col("_quill_tokens.sha256").alias("ids_sha256"), F.sha2(vocabulary.decode(ids), 256).alias("decoded_sha256"))
+    return coded.withColumn(name, tokens).drop("_quill_tokens")

@@ -15,8 +15,9 @@ are hashes of a seed and ids, so reruns agree.
 
 Defined results: a null or blank text has size 0 and is taken as often as the
 whole part says, for no words; a null source is a source of its own, last in
-order; null ids are allowed; rows that repeat an id are rounded one by one, and
-``mixed`` repeats each of them as often as the most taken; an empty table gives
+order; null ids are allowed; rows that repeat an id are dealt, rounded and
+repeated one by one, told apart by a number that is written with them (which
+depends on how the input is split; all others draw by their ids alone); an empty table gives
 an empty result; other columns are ignored by ``draws`` and kept by ``mixed``.
 """
 
@@ -70,18 +71,19 @@ def _uniform(seed: int, *cols: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-_ITEM = "struct<id:bigint,s:bigint,p:double>"
-_STATE = f"struct<has:boolean,c:{_ITEM},out:array<struct<id:bigint,s:bigint,k:int>>>"
+#: id, number if the id repeats (else 0), size, probability, number.
+_ITEM = "struct<id:bigint,r:bigint,s:bigint,p:double,n:bigint>"
+_STATE = f"struct<has:boolean,c:{_ITEM},out:array<struct<id:bigint,n:bigint,s:bigint,k:int>>>"
 
 
 def _fold(items: Column, seed: int) -> Column:
-    """Pivotal rounding of an array of (id, s, p): struct of the last residual ``c`` and the settled ``out``."""
+    """Pivotal rounding of an array of items: struct of the last residual ``c`` and the settled ``out``."""
 
     def item(x: Column, p: Column) -> Column:
-        return F.struct(x["id"].alias("id"), x["s"].alias("s"), p.alias("p"))
+        return F.struct(x["id"].alias("id"), x["r"].alias("r"), x["s"].alias("s"), p.alias("p"), x["n"].alias("n"))
 
     def settled(x: Column, k: int) -> Column:
-        return F.array(F.struct(x["id"].alias("id"), x["s"].alias("s"), F.lit(k).alias("k")))
+        return F.array(F.struct(x["id"].alias("id"), x["n"].alias("n"), x["s"].alias("s"), F.lit(k).alias("k")))
 
     def state(c: Column, out: Column) -> Column:
         return F.struct(F.lit(True).alias("has"), c.alias("c"), out.alias("out")).cast(_STATE)
@@ -92,7 +94,7 @@ def _fold(items: Column, seed: int) -> Column:
         room_a, room_b = a["s"] - have_a, b["s"] - have_b
         both = F.struct(
             have_a.alias("ha"), have_b.alias("hb"), room_a.alias("ra"), room_b.alias("rb"),
-            F.least(room_a, have_b).alias("up"), F.least(have_a, room_b).alias("down"), _uniform(seed, a["id"], b["id"]).alias("u"),
+            F.least(room_a, have_b).alias("up"), F.least(have_a, room_b).alias("down"), _uniform(seed, a["id"], a["r"], b["id"], b["r"]).alias("u"),
         )
 
         def moved(m: Column) -> Column:
@@ -111,43 +113,53 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, lambda acc, x: F.when(acc["has"], meet(acc, x)).otherwise(state(x, acc["out"])))
 
 
-def draws(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 17, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: how often the mix takes each row, and its words."""
-    sizes = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+def _numbered_draws(sizes: DataFrame, weights: Sequence[float], share: float, limit: float, seed: int) -> DataFrame:
+    """number, id, size, source_size, target, copies for the rows of ``sizes(number, id, source, size)``."""
     plan = staged(targets(sizes, weights, share, limit), "targets").withColumn("f", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.withColumns({"whole": F.floor("f").cast("int"), "part": F.col("f") - F.floor("f")})
     most = plan.agg(F.max("n")).first()[0] or 0
-    rows = sizes.alias("d").join(plan.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("id", "d.source", "size", "n", "whole", "part")
+    repeated = sizes.groupBy(F.col("id").alias("twice")).agg(F.count("*").alias("c")).where("c > 1").select("twice", F.lit(True).alias("repeats"))
+    marked = sizes.join(repeated, F.col("id").eqNullSafe(F.col("twice")), "left").withColumn("r", F.when(F.col("repeats"), F.col("number")).otherwise(0))
+    rows = marked.alias("d").join(plan.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("id", "r", "number", "d.source", "size", "n", "whole", "part")
     open_ = (F.col("part") > 0) & (F.col("size") > 0)
-    sure = rows.where(~open_).select("id", "source", F.col("size").alias("s"), F.lit(0).alias("k"))
-    level = rows.where(open_).select("source", "n", F.struct("id", F.col("size").alias("s"), F.col("part").alias("p")).alias("x"))
+    sure = rows.where(~open_).select("id", "number", "source", F.col("size").alias("s"), F.lit(0).alias("k"))
+    item = F.struct("id", "r", F.col("size").alias("s"), F.col("part").alias("p"), F.col("number").alias("n"))
+    level = rows.where(open_).select("source", "n", item.alias("x"))
     done = [sure]
     depth = 0
     while most > 0:
         last = most <= BLOCK
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("x.id", "x.s", F.lit(depth)), blocks)
+        block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("x.id", "x.r", "x.s", F.lit(depth)), blocks)
         grouped = level.groupBy("source", "n", block.alias("block")).agg(F.sort_array(F.collect_list("x")).alias("items"))
         folded = staged(grouped.select("source", blocks.alias("n"), _fold(F.col("items"), seed + depth).alias("r")), "rounded")
-        done.append(folded.select("source", F.explode("r.out").alias("o")).select("o.id", "source", "o.s", "o.k"))
+        done.append(folded.select("source", F.explode("r.out").alias("o")).select("o.id", F.col("o.n").alias("number"), "source", "o.s", "o.k"))
         rest = folded.select("source", "n", F.col("r.c").alias("x"))
         if last:
-            chance = _uniform(seed - 1, F.col("x.id"), F.col("x.s")) < F.col("x.p")
-            done.append(rest.select("x.id", "source", "x.s", chance.cast("int").alias("k")))
+            chance = _uniform(seed - 1, F.col("x.id"), F.col("x.r"), F.col("x.s")) < F.col("x.p")
+            done.append(rest.select("x.id", F.col("x.n").alias("number"), "source", "x.s", chance.cast("int").alias("k")))
             break
         level, most, depth = rest, -(-most // BLOCK), depth + 1
     every = done[0]
     for more in done[1:]:
         every = every.union(more)
     taken = every.alias("e").join(plan.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")))
-    copies = (F.col("whole") + F.col("k")).alias("copies")
-    return taken.select(F.col("id").alias("doc_id"), F.col("s").alias("size"), "source_size", "target", copies, ((F.col("whole") + F.col("k")) * F.col("s")).cast("long").alias("taken"))
+    return taken.select("number", "id", F.col("s").alias("size"), "source_size", "target", (F.col("whole") + F.col("k")).alias("copies"))
+
+
+def draws(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 17, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken: how often the mix takes each row, and its words."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = staged(own.withColumn("number", F.monotonically_increasing_id()), "sizes")  # written once: the numbers stay
+    drawn = _numbered_draws(sizes, weights, share, limit, seed)
+    return drawn.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    drawn = draws(docs, seed=seed, id_col=id_col, source=source, text=text)
-    copies = drawn.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_quill_key")).agg(F.max("copies").alias("_quill_copies")).where("_quill_copies > 0")
-    joined = docs.withColumn("_quill_key", key).join(copies, "_quill_key")
-    return joined.withColumn("_quill_copy", F.explode(F.sequence(F.lit(1), F.col("_quill_copies")))).drop("_quill_key", "_quill_copies", "_quill_copy")
+    rows = staged(docs.withColumn("_quill_number", F.monotonically_increasing_id()), "rows")  # written once: the numbers stay
+    sizes = rows.select(F.col("_quill_number").alias("number"), F.col(id_col).cast("long").alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    drawn = _numbered_draws(staged(sizes, "sizes"), WEIGHTS, SHARE, LIMIT, seed)
+    copies = drawn.where("copies > 0").select(F.col("number").alias("_quill_number"), F.col("copies").alias("_quill_copies"))
+    joined = rows.join(copies, "_quill_number")
+    return joined.withColumn("_quill_copy", F.explode(F.sequence(F.lit(1), F.col("_quill_copies")))).drop("_quill_number", "_quill_copies", "_quill_copy")

@@ -302,27 +302,46 @@ def test_op3_long_list_joins_alike(spark, small, monkeypatch):
 
 def plain_top(rows, k):
     out = []
-    clean = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    for q, v in clean:
+    exact = lambda x: int(np.floor(64 * float(x))) if abs(x) < 2**60 else 64 * int(x)
+    clean = [(n, i, [exact(x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for n, q, v in clean:
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in clean if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return out
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i, m) for m, i, w in clean if m != n)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i, _) in enumerate(best)]
+    return sorted(out)
 
 
 def test_op4_against_all_scores(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.gauss(0, 0.3)]) for _ in range(12)]) for i in range(300)]
     rows += [(400, None), (420, []), (440, [None] * 12), (460, [float("nan")] * 12), (480, [float("inf")] * 12), (500, [0.25] * 12), (501, [0.25] * 12), (502, [0.25] * 12), (None, [1.0] * 12)]
-    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, id int")
-    want = sorted(plain_top([(i, v and [np.float32(x) if x is not None else None for x in v]) for i, v in rows], 20))
+    rows += [(0, [0.5] * 12), (0, rows[0][1]), (7, rows[7][1]), (7, [1.0]), (520, [2.0, 1.0])]  # repeated ids, shorter vectors
+    rows += [(540, [1e16] + [0.0] * 11), (541, [-1e16] + [0.5] * 11), (560, [1e300, -1.0]), (561, [1e300, 1.0]), (562, [3e12] * 12), (580, [2.0**40] * 12)]  # sizes
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, id int")
+    want = plain_top(rows, 20)
     asks = F.col("vec_id") % 20 == 0
     run = lambda: sorted(map(tuple, topk.top_k(frame, asks).collect()))
     assert run() == want
-    monkeypatch.setattr(topk, "SHARD", 70)
-    monkeypatch.setattr(topk, "BLOCK", 6)
+    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "BLOCK", 12)
     assert run() == want
     assert topk.top_k(frame.limit(0), asks).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e16, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(few, asks).orderBy("rank").collect()] == [1, 2]
+    assert topk.top_k(spark.createDataFrame([(20, []), (1, [])], "vec_id long, embedding array<float>"), asks).collect() == [(20, 1, 1, 0)]
+
+
+def test_op4_prunes_skewed_terms():
+    """Where a few terms carry most of a query's weight, most products are never made."""
+    rng = np.random.default_rng(3)
+    rows = np.floor(rng.standard_normal((16000, 64)) * 64 * 0.8 ** np.arange(64))
+    shard = topk.Shard(np.arange(16000), np.arange(16000), rows)
+    found = list(shard.search(rows[:64], np.arange(64), 20, [None] * 64))
+    scores = (rows @ rows[:64].T).T
+    for q, (at, got) in enumerate(found):
+        scores[q, q] = -np.inf
+        assert got.tolist() == sorted(scores[q], reverse=True)[:20]
+    assert shard.made < 0.5 * shard.all
 
 
 def test_op5_round_trip(spark):
@@ -505,18 +524,46 @@ def test_op9_against_library(spark, small, texts, reference_encoding):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == digest(reference_encoding, texts[r["doc_id"]])
 
 
-def test_op9_both_ways_on_awkward(spark, awkward, empty, reference_encoding):
+MORE = ["it's  we'll \n\n x", " lead", "trail ", "a  b   c \n d\te", "1234567 ¼ ² ٣", "\x1c\x1d \x85 \u200b\u3000x", "<|endoftext|>", "e\u0301 👩‍👩‍👧 \U0001f600"]
+
+
+@pytest.mark.parametrize(("most", "limits"), [(bpe.COMMON, None), (0, (0, 0, 10)), (40, (50, 20, 500))])
+def test_op9_awkward(spark, awkward, empty, texts, reference_encoding, monkeypatch, most, limits):
+    """Whatever is broadcast, and however often memory is let go, the ids are the library's."""
+    if limits:
+        for name, value in zip(("_MEMO", "_REFERENCES", "_GROUP"), limits, strict=True):
+            monkeypatch.setattr(bpe, name, value)
     vocabulary = queries.vocabulary()
-    more = ["it's  we'll \n\n x", " lead", "trail ", "a  b   c \n d\te", "1234567 ¼ ² ٣", "\x1c\x1d \x85 \u200b\u3000x", "<|endoftext|>", "e\u0301 👩‍👩‍👧 \U0001f600"]
-    frame = awkward.select("doc_id", "text", "tokens").union(spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(more)], "doc_id long, text string, tokens string"))
+    rows = [*enumerate(MORE, 100), *((1000 + i, t) for i, t in sorted(texts.items())[:60]), (99, "x" * 700 + " " + "ab" * 300)]
+    frame = awkward.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4, "doc_id").withColumn("tokens", F.create_map(F.lit(1), F.lit("a map")))
+    found = bpe.with_tokens(frame, vocabulary, name="found", most=most)
+    assert found.columns == [*frame.columns, "found"]
     want = Counter((r["doc_id"], *digest(reference_encoding, r["text"])) for r in frame.collect())
-    for limit in (10**9, -1):
-        rows = bpe.with_tokens(frame, vocabulary, name="found", broadcast_pieces=limit).select("doc_id", "found.*").collect()
-        assert Counter(map(tuple, rows)) == want
-    assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary).count() == 0
-    assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary, broadcast_pieces=-1).count() == 0
-    ids = {r["doc_id"]: r["ids"] for r in bpe.encode_ids(frame.where("doc_id >= 100"), vocabulary).collect()}
-    assert ids == {100 + i: reference_encoding.encode_ordinary(t) for i, t in enumerate(more)}
+    assert Counter(map(tuple, found.select("doc_id", "found.*").collect())) == want
+    if not limits:
+        assert bpe.with_tokens(empty.select("doc_id", "text"), vocabulary).count() == 0
+        ids = {r["doc_id"]: r["ids"] for r in bpe.with_ids(frame.where("doc_id between 100 and 998"), vocabulary).select("doc_id", "ids.ids").collect()}
+        assert ids == {100 + i: reference_encoding.encode_ordinary(t) for i, t in enumerate(MORE)}
+
+
+def test_op9_long_pieces(spark, reference_encoding):
+    vocabulary = queries.vocabulary()
+    rng = random.Random(4)
+    for text in ("a" * 100_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "é" * 999, "漢字" * 500):
+        assert vocabulary.merged(text.encode()) == [i for i in reference_encoding.encode_ordinary(text)]
+    text = " " + "".join(rng.choices("etaoin", k=100_000)) + " end"
+    frame = spark.createDataFrame([(1, text), (2, text), (3, "b" * 401 + text)], "doc_id long, text string")
+    got = Counter(map(tuple, bpe.with_tokens(frame, vocabulary).select("doc_id", "tokens.*").collect()))
+    assert got == Counter((r["doc_id"], *digest(reference_encoding, r["text"])) for r in frame.collect())
+
+
+def test_op9_decodes_any_ids(spark):
+    vocabulary = queries.vocabulary()
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(len(vocabulary.pieces)) for _ in range(n)]) for i, n in enumerate((0, 1, 5, 3000))]
+    rows.append((9, list(range(len(vocabulary.pieces)))))
+    got = {r["id"]: bytes(r["b"]) for r in spark.createDataFrame(rows, "id long, ids array<int>").select("id", vocabulary.decode(F.col("ids")).alias("b")).collect()}
+    assert got == {i: b"".join(vocabulary.pieces[x] for x in ids) for i, ids in rows}
 
 
 def plain_targets(sizes, weights, share=1.5, limit=2.0):
@@ -598,6 +645,25 @@ def test_op10_awkward(awkward, empty):
     assert mixing.draws(empty).count() == 0
 
 
+def test_op10_repeated_ids(spark, monkeypatch):
+    """Rows without an id, or of one id, are parted like others, and the mix repeats each row by itself."""
+    folded = []
+    fold = mixing._fold
+    monkeypatch.setattr(mixing, "_fold", lambda items, seed: folded.append(1) or F.when(F.size(items) > 3 * mixing.BLOCK, F.raise_error(F.lit("a block of too many"))).otherwise(fold(items, seed)))
+    docs = spark.createDataFrame([(None, "a", "w " * (1 + i % 5)) for i in range(1500)] + [(7, "a", "w w w")] * 800 + [(10_000 + i, "b", "w w") for i in range(400)], "doc_id long, source string, text string")
+    rows = mixing.draws(docs).collect()
+    assert folded and len(rows) == 2700
+    assert Counter((r["doc_id"], r["size"]) for r in rows)[7, 3] == 800
+    taken = Counter()
+    target = {r["source_size"]: r["target"] for r in rows}
+    for r in rows:
+        taken[r["source_size"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+    out = Counter((r["source"], r["doc_id"]) for r in mixing.mixed(docs).collect())
+    words = {s: n for s, n in mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text")))).collect()}
+    assert sum(out.values()) and sorted(words.values()) == sorted(taken.values())
+
+
 def test_pipeline_against_stages(spark, small):
     import corpus_pipeline
 
