@@ -4,7 +4,8 @@ A page is cut into DOM leaf blocks: runs of text between block-level tags, with
 their open ancestors. Each block has features of its ancestors' tags, classes
 and ids and of its text; a two-label chain (text or not) is decoded by Viterbi.
 The field is trained, on first use, on labelled pages that ``training_pages``
-lays out in many site styles, with articles and the furniture around them.
+lays out in many site styles, with articles, marked as such or not, and the
+furniture around them. A tag's quotes count only where they close a value.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags
 are tolerated as browsers do in simple cases; character references are decoded
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -41,19 +43,23 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: A start tag closes an open tag of its group, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ENDS_P = BLOCK_TAGS - {"body", "html", "head", "button", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "legend"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: Containers that mark a page's article; blocks outside them are told apart on pages that have one.
+_MARKED = frozenset("in:article in:main is:article is:content is:entry is:post is:story".split())
+
+
 class Block:
-    """One leaf block: its ancestors (tag, attribute words) outermost first, text, characters in links, words."""
+    """One leaf block: the names that its ancestors' tags and attributes give, its nearest block-level tag, text, characters in links."""
 
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("leaf", "linked", "names", "text")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, names: frozenset[str], leaf: str, text: str, linked: int):
+        self.names, self.leaf, self.text, self.linked = names, leaf, text, linked
 
 
 @lru_cache(maxsize=4096)
@@ -69,7 +75,9 @@ def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks with text, in order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # open tags, each with the names of all down to it (one set for many, where a tag adds none) and the nearest block-level tag
+    stack: list[tuple[str, frozenset[str], str]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     state = {"linked": 0, "dropped": 0}
 
@@ -77,13 +85,27 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, state["linked"]))
+                _, names, leaf = stack[-1] if stack else ("", frozenset(), "")
+                out.append(Block(names, leaf, text, state["linked"]))
             parts.clear()
         state["linked"] = 0
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            state["dropped"] -= stack.pop()[0] in _DROPPED
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            state["dropped"] -= tag in _DROPPED
+
+    def push(tag: str, words: tuple[str, ...]) -> None:
+        _, names, leaf = stack[-1] if stack else ("", frozenset(), "")
+        own = {f"is:{word}" for word in words}
+        if tag in BLOCK_TAGS:
+            leaf = tag
+            if tag not in ("html", "body"):
+                own.add(f"in:{tag}")
+        stack.append((tag, names if own <= names else names | own, leaf))
+        opened[tag] += 1
+        state["dropped"] += tag in _DROPPED
 
     def end_head() -> None:
         if stack and stack[-1][0] == "head":
@@ -94,7 +116,7 @@ def blocks(page: str | None) -> list[Block]:
             end_head()
         if text and not state["dropped"]:
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if opened["a"]:
                 state["linked"] += len(text)
 
     at = 0
@@ -114,7 +136,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     pop_to(depth)
                     break
@@ -132,7 +154,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if tag in _CLOSES:
             own, limits = _CLOSES[tag]
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if any(opened[x] for x in own) else ():
                 if stack[depth][0] in limits:
                     break
                 if stack[depth][0] in own:
@@ -141,8 +163,7 @@ def blocks(page: str | None) -> list[Block]:
                         break
         if tag in _VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append((tag, _attribute_words(attrs)))
-        state["dropped"] += tag in _DROPPED
+        push(tag, _attribute_words(attrs))
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -153,12 +174,13 @@ def blocks(page: str | None) -> list[Block]:
 def block_features(found: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     rows = []
+    marked = [not _MARKED.isdisjoint(block.names) for block in found]
+    some = any(marked)
     for i, block in enumerate(found):
         words = block.text.split()
-        tags = [tag for tag, _ in block.path if tag in BLOCK_TAGS]
-        row = ["bias", *{f"in:{tag}" for tag in tags if tag not in ("html", "body")}]
-        row += {f"is:{word}" for _, words_ in block.path for word in words_}
-        row.append(f"leaf:{tags[-1] if tags else ''}")
+        row = ["bias", *block.names, f"leaf:{block.leaf}"]
+        if some and not marked[i]:
+            row.append("outside")
         row.append(f"links:{min(3, 4 * block.linked // max(1, len(block.text)))}")
         row.append(f"words:{min(5, len(words).bit_length())}")
         row.append(f"stop:{block.text[-1] in '.!?:;»”\"'}")
@@ -240,7 +262,7 @@ def train(pages: list[tuple[str, list[int]]], steps: int = 200, ridge: float = 0
     return Field({name: (float(w[i, 0]), float(w[i, 1])) for name, i in names.items()}, params[2 * size : 2 * size + 4].reshape(2, 2), params[-2:])
 
 
-def training_pages(count: int = 320, seed: int = 5) -> list[tuple[str, list[int]]]:
+def training_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
     """Pages with their blocks' labels, laid out at random from parts of common site styles."""
     rng = random.Random(seed)
     syllables = "ka lo mi ten sur eta no vi del ran po ist ur".split()
@@ -339,7 +361,11 @@ def training_pages(count: int = 320, seed: int = 5) -> list[tuple[str, list[int]
             part, n = comments()
             inner += part
             marks += [0] * n
-        style = rng.randint(0, 7)
+        style = rng.randint(0, 9)
+        if style == 8:
+            return rng.choice([f"<div>{inner}</div>", f"<div{named('wrapper', 'page', 'container', 'inner', 'left', 'col')}>{inner}</div>", f"<table><tr><td>{inner}</td></tr></table>"]), marks
+        if style == 9:
+            return inner, marks
         if style < 4:
             return f"<article>{inner}</article>", marks
         if style == 4:

@@ -4,11 +4,13 @@ Base rules count words, symbols, repeated lines and repeated word windows in the
 whole text. Then the text's histograms of character classes and of its
 language's commonest words are compared with references, which are gathered from
 all documents of that language, by Jensen-Shannon distance (base 2, so 0 to 1).
-Texts under ``MIN_WORDS`` are not compared: their histograms are too coarse.
+Texts under ``MIN_WORDS`` are not compared: their histograms are too coarse. Nor
+are texts whose language has too few words for a reference, for lack of other
+texts than the compared one: such pass on the base rules alone.
 
 The references are counted in one pass with bounded partial counts, summed by
 key, and cut to the top words per language by a group limit; only languages
-times (words + classes) rows reach the driver.
+of ``LEAST_REFERENCE`` words, times (words + classes), reach the driver.
 
 Defined results: a null or blank text has no words and fails the base rules; a
 null language is a language of its own; repeated rows are judged alike; an empty
@@ -38,9 +40,21 @@ _FLUSH = 100_000
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Classes of bytes: lower case, upper case, digit, blank, sentence mark, symbol, other control, beyond ASCII.
-_CLASS = np.array([0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in _BLANKS else 4 if c in b".,;:!?'\"()-" else 7 if c >= 128 else 6 if c < 32 or c == 127 else 5 for c in range(256)])
-N_CLASSES = 8
+#: Words that a reference must have, at least and for each word of the text that is compared with it.
+LEAST_REFERENCE, REFERENCE_TIMES = 5_000, 10
+
+
+def _class_of(byte: int) -> int:
+    """The class of the character that starts with this UTF-8 byte: one of seven in ASCII, beyond it by range of code points; -1 within a character."""
+    if byte < 128:
+        return 0 if 97 <= byte <= 122 else 1 if 65 <= byte <= 90 else 2 if 48 <= byte <= 57 else 3 if byte in _BLANKS else 4 if byte in b".,;:!?'\"()-" else 6 if byte < 32 or byte == 127 else 5
+    # up to U+02BF (Latin), U+052F (Greek, Cyrillic), U+07FF (Hebrew, Arabic), U+1FFF, U+2FFF (signs), U+3FFF (kana), U+9FFF (ideographs), U+DFFF (Hangul), U+FFFF, beyond
+    last = (0xCA, 0xD4, 0xDF, 0xE1, 0xE2, 0xE3, 0xE9, 0xED, 0xEF, 0xFF)
+    return -1 if byte < 0xC0 else 7 + next(i for i, end in enumerate(last) if byte <= end)
+
+
+_CLASS = np.array([_class_of(c) for c in range(256)])
+N_CLASSES = 17
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -67,7 +81,9 @@ def base_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def class_counts(data: bytes) -> np.ndarray:
-    return np.bincount(_CLASS, weights=np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256), minlength=N_CLASSES)
+    """Characters by class."""
+    starts = _CLASS >= 0
+    return np.bincount(_CLASS[starts], weights=np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)[starts], minlength=N_CLASSES)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -113,10 +129,12 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text", top_word
     summed = staged(parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "references")
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     top = summed.where("key <> '' or kind = 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(top_words, N_CLASSES))
-    totals = {r["lang"]: r["n"] for r in summed.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    ample = summed.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_REFERENCE)
+    totals = {r["lang"]: r["n"] for r in ample.collect()}
     words: dict = {}
     classes: dict = {}
-    for r in top.orderBy("r").collect():
+    known = ample.select(F.col("lang").alias("known"))
+    for r in top.join(known, F.col("lang").eqNullSafe(F.col("known")), "left_semi").orderBy("r").collect():
         if r["kind"] == 1:
             classes.setdefault(r["lang"], np.zeros(N_CLASSES))[int(r["key"])] = r["n"]
         elif r["r"] <= top_words:
@@ -147,8 +165,9 @@ def with_rules(docs: DataFrame, lang: str = "lang", text: str = "text", name: st
             stats = base_stats(value)
             failed = stats[0] < BASE_WORDS or 100 * stats[4] > BASE_REPEAT * stats[0]
             near = (None, None)
-            if stats[0] >= MIN_WORDS:
-                near = distances(value, refs[None if own is None or own != own else own])
+            reference = refs.get(None if own is None or own != own else own)
+            if stats[0] >= MIN_WORDS and reference is not None and reference[1].sum() >= REFERENCE_TIMES * stats[0]:
+                near = distances(value, reference)
             far = near[0] is not None and (near[0] > MAX_CLASS_DISTANCE or near[1] > MAX_WORD_DISTANCE + WORD_SPREAD / stats[0] ** 0.5)
             rows.append((*stats, failed, *near, not failed and not far))
         return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"])

@@ -443,6 +443,60 @@ def test_op7_cases(spark):
     assert html.with_main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p>Price <b "x>five</b> today.</p></article>', "Price five today."),
+    ('<article><p>A <a href="/x>link</a> here.</p><p class="y">Then more.</p></article>', "A link here.\n\nThen more."),
+    ("<article><p>An <i title='a > b'>odd</i> <b title=\"c > d\">title</b>.</p></article>", "An odd title."),
+    ("<article><p>It <b data-x=it's>is</b> so.</p></article>", "It is so."),
+])
+def test_op7_stray_quotes(page, want):
+    assert html.main_text(page, html.trained()) == want
+
+
+def test_op7_pages_without_marked_articles():
+    field = html.trained()
+    nav, foot = '<ul class="menu"><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul>', '<div id="footer">Copyright 2020 us</div>'
+    body = "<h1>The title of it</h1><p>The first paragraph says something, at some length.</p><p>Another one follows it, and ends here.</p>"
+    want = "The title of it\n\nThe first paragraph says something, at some length.\n\nAnother one follows it, and ends here."
+    for page in (f"<body>{nav}<div>{body}</div>{foot}", f"<body>{nav}{body}{foot}", f"<body>{nav}<table><tr><td>{body}</td></tr></table>{foot}", f"<div><div>{body}</div></div>"):
+        assert html.main_text(page, field) == want
+
+
+def test_op7_deep_and_stray_tags_take_linear_time():
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        html.blocks(page)
+        return time.perf_counter() - start
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<div class=a><p>x</i></b>" * n, lambda n: "<div>" * n + "<li>x" * n, lambda n: "<div>" * n + "x</section>" * n):
+        html.blocks(make(100))
+        assert seconds(make(16_000)) < 12 * seconds(make(4_000)) + 0.2
+
+
+def test_op7_against_plain_reading(spark, small):
+    """On pages of one article element, the blocks of that element without its asides, forms, notices and comments."""
+    import re as re_
+
+    rows = queries.op7_html_text(spark, small).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    seen = 0
+    for r in rows:
+        own = re_.findall(r"(?s)<article[^>]*>(.*?)</article>", pages[r["page_id"]] or "")
+        if len(own) == 1:
+            seen += 1
+            text = own[0]
+            for tag in ("script", "style", "aside", "form", "nav", "footer", "header"):
+                text = re_.sub(rf"(?s)<{tag}\b.*?</{tag}>", "\n", text)
+            text = re_.sub(r"(?s)<!--.*?-->", "", text)
+            plain = [" ".join(__import__("html").unescape(re_.sub(r"<[^>]+>", "", x)).split()) for x in re_.split(r"</?(?:p|h[1-6]|li|ul|ol|div|blockquote|section|table|tr|td|th)\b[^>]*>", text)]
+            assert r["text"] == "\n\n".join(x for x in plain if x)
+            assert r["n_chars"] == len(r["text"])
+    assert seen > 0
+
+
 @pytest.mark.parametrize("start", ["<html><head><title>T</title><body>", "<head><meta charset=utf-8><style>p {}</style><script>x('<p>')</script>", "<html><head><title>T</title></head><body>", "<html><head><template><p>No</p></template><body>"])
 def test_op7_omitted_head_end_and_math(start):
     page = start + "<article><p>Hi there, this is a text.</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
@@ -483,7 +537,7 @@ def test_op8_references_and_distances(docs):
     for lang, own in by_lang.items():
         words = Counter(w.strip(b".,;:!?'\"()-") for t in own for w in t.encode().translate(rules._LOWER).split())
         assert sum(refs[lang][1]) == sum(words.values())
-        assert refs[lang][2].sum() == sum(len(t.encode()) for t in own)
+        assert refs[lang][2].sum() == sum(map(len, own))
         top = sorted(((n, w) for w, n in words.items() if w), key=lambda x: (-x[0], x[1]))[: rules.TOP_WORDS]
         assert refs[lang][0] == [w.decode() for _, w in top]
     p, q = np.array([1.0, 0, 1]), np.array([0.0, 2, 0])
@@ -499,6 +553,52 @@ def test_op8_keeps_clean_documents(spark, small):
     assert np.mean([r["kept"] for r in rows if not truth[r["doc_id"]]]) <= 0.1
 
 
+def test_op8_classes_are_of_characters():
+    for char, n in (("a", 0), ("Q", 1), ("7", 2), ("\t", 3), (";", 4), ("#", 5), ("\x00", 6), ("é", 7), ("ж", 8), ("ש", 9), ("ก", 10), ("€", 11), ("か", 12), ("漢", 13), ("한", 14), ("ﬁ", 15), ("😀", 16)):
+        counts = rules.class_counts(f"{char}{char}".encode())
+        assert counts[n] == 2 == counts.sum(), char
+
+
+def test_op8_small_languages_have_no_reference(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = [(i, "xx", " ".join(rng.choices(words, k=80))) for i in range(100)]
+    rows += [(200, "one", " ".join(rng.choices(words, k=7000))), (201, "few", " ".join(rng.choices(words, k=90))), (202, "xx", " ".join(f"{i}{i}" for i in range(200)))]
+    got = {r["doc_id"]: r["rules"] for r in rules.with_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert got[200]["class_distance"] is None and got[201]["class_distance"] is None  # their own reference, or too few words for one
+    assert got[200]["kept"] and got[201]["kept"]
+    assert got[0]["kept"] and got[0]["class_distance"] < 0.2
+    assert not got[202]["kept"]
+
+
+def test_op8_verdicts_against_plain(spark, small, texts):
+    """Each verdict again from the references, by a plain reading of the rule."""
+    import math
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    refs = rules.references(docs)
+
+    def entropy(p):
+        return -sum(x * math.log2(x) for x in p if x)
+
+    def apart(a, b):
+        a, b = ([x / sum(v) for x in v] for v in (a, b))
+        return math.sqrt(max(0, entropy([(x + y) / 2 for x, y in zip(a, b, strict=True)]) - (entropy(a) + entropy(b)) / 2))
+
+    for r in queries.op8_quality_rules(spark, small).collect():
+        text, kept = texts[r["doc_id"]] or "", not r["base_failed"]
+        ref = refs.get(langs[r["doc_id"]])
+        if kept and ref and sum(ref[1]) >= rules.REFERENCE_TIMES * r["n_words"]:
+            found = Counter(w.strip(".,;:!?'\"()-") for w in text.encode().translate(rules._LOWER).decode().split(" ") for w in w.split())
+            own = [found[w] for w in ref[0]]
+            classes = [0] * rules.N_CLASSES
+            for c in text:
+                classes[rules._class_of(c.encode()[0])] += 1
+            kept = apart(classes, ref[2]) <= rules.MAX_CLASS_DISTANCE and apart([*own, sum(found.values()) - sum(own)], ref[1]) <= rules.MAX_WORD_DISTANCE + rules.WORD_SPREAD / math.sqrt(r["n_words"])
+        assert r["kept"] == kept, r
+
+
 def test_op8_awkward(awkward, empty):
     assert rules.with_rules(awkward).where("rules.kept is null").count() == 0
     assert rules.keep_passing(awkward).columns == awkward.columns
