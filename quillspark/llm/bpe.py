@@ -36,6 +36,7 @@ import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -48,12 +49,12 @@ from pyspark.sql import functions as F
 
 from quillspark.session import small_batches, staged
 
-#: Pieces that are folded once for the whole table and broadcast, at most: about 25 bytes each when packed.
-COMMON = 1 << 20
+#: Pieces that are folded once for the whole table and broadcast, at most: about 36 bytes each when packed.
+COMMON = 1_500_000
 #: Bytes of a piece beyond which merges are kept in a heap.
 LONG = 400
 #: Units whose codes a task keeps, references that it numbers, and characters of text that it looks up at a time.
-_MEMO, _REFERENCES, _GROUP = 600_000, 400_000, 200_000
+_MEMO, _REFERENCES, _GROUP = 400_000, 300_000, 200_000
 _MARKS = frozenset(".,;:!?")
 _NO_RANK, _EMPTY, _EDGE = 1 << 16, 1 << 60, (1 << 16) - 1
 
@@ -282,38 +283,39 @@ def piece_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 
 
 class _Packed:
-    """Ids of pieces, found by the pieces' 64-bit hashes and told from other pieces by what they decode to."""
+    """Ids of pieces, as little-endian 32-bit integers, found by 96 bits of hashes: XXH64 and CRC-32."""
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        self.starts, self.sizes, self.data = (ends - sizes)[order].astype(np.uint32), sizes[order].astype(np.uint32), ids
+        self.hashes, self.checks = hashes[order], checks[order].astype(np.uint32)
+        ends = 4 * np.cumsum(sizes, dtype=np.int64)
+        self.starts, self.sizes, self.data = (ends - 4 * sizes)[order].astype(np.uint32), sizes[order].astype(np.uint32), ids.astype("<u4").tobytes()
 
-    def get(self, pieces: list[bytes], binary: list[bytes]) -> list[np.ndarray | None]:
+    def get(self, pieces: list[bytes]) -> list[bytes | None]:
         """Ids of each piece, or None if the table doesn't hold it."""
         if not len(self.hashes) or not pieces:
             return [None] * len(pieces)
         digest = xxhash.xxh64_intdigest
         wanted = np.array([digest(p, 42) for p in pieces], dtype=np.uint64)
+        checks = np.fromiter(map(crc32, pieces), dtype=np.uint32, count=len(pieces))
         order = np.argsort(wanted)  # sorted needles stay near each other in a large table
         at = np.empty(len(wanted), dtype=np.int64)
         at[order] = np.searchsorted(self.hashes, wanted[order])
         at[at == len(self.hashes)] = 0
+        same = (self.hashes[at] == wanted) & (self.checks[at] == checks)
         starts = self.starts[at].astype(np.int64)
-        out = [self.data[a:b] for a, b in zip(starts.tolist(), (starts + self.sizes[at]).tolist(), strict=True)]
-        same = (self.hashes[at] == wanted).tolist()
-        return [ids if ok and b"".join([binary[i] for i in ids.tolist()]) == p else None for ids, ok, p in zip(out, same, pieces, strict=True)]
+        data = self.data
+        return [data[a:b] if ok else None for a, b, ok in zip(starts.tolist(), (starts + 4 * self.sizes[at]).tolist(), same.tolist(), strict=True)]
 
 
 def _packed(pieces: DataFrame) -> _Packed:
     """A table of pieces and ids, ``COMMON`` rows at most, gathered on the driver."""
     two_bytes = F.transform("ids", lambda i: F.substr(F.hex(i.cast("long") + 65536), F.lit(2)))
-    frame = pieces.select(F.xxhash64("piece").alias("h"), F.unhex(F.array_join(two_bytes, "")).alias("ids")).toArrow()
+    own = F.col("piece").cast("binary")
+    frame = pieces.select(F.xxhash64("piece").alias("h"), F.crc32(own).alias("c"), F.unhex(F.array_join(two_bytes, "")).alias("ids")).toArrow()
     sizes = pc.binary_length(frame["ids"]).to_numpy() // 2
     flat = np.concatenate([_bytes_of(chunk) for chunk in frame["ids"].chunks] or [np.zeros(0, np.uint8)])
-    hashes = frame["h"].to_numpy().view(np.uint64)
-    return _Packed(hashes, sizes, flat.view(">u2").astype("<u2"))
+    return _Packed(frame["h"].to_numpy().view(np.uint64), frame["c"].to_numpy(), sizes, flat.view(">u2"))
 
 
 def _bytes_of(chunk: pa.Array) -> np.ndarray:
@@ -327,8 +329,8 @@ def _bytes_of(chunk: pa.Array) -> np.ndarray:
 def common_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", most: int = COMMON) -> _Packed:
     """The commonest pieces of several bytes that occur in more than one place, ``most`` at most, folded."""
     counts = staged(piece_counts(docs, vocabulary, text).where("n > 1"), "pieces")
-    level = F.floor(F.log2("n")).cast("int")
-    held, least = 0, 64
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(58 + F.floor(F.log2("n"))).cast("int")
+    held, least = 0, 128
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):
         held += r["c"]
         if held > most:
@@ -343,7 +345,7 @@ class _Coder:
 
     def __init__(self, vocabulary: Vocabulary, table: _Packed):
         self.cutter, self.table = _Cutter(vocabulary.pattern), table
-        self.ranks, self.binary = vocabulary.ranks, vocabulary.pieces
+        self.single = {p: i.to_bytes(4, "little") for p, i in vocabulary.ranks.items()}
         self.memo: dict[str, bytes] = {}
         self.sent: dict[bytes, int] = {}
 
@@ -365,26 +367,22 @@ class _Coder:
             self.sent.clear()
         if reset or len(self.memo) > _MEMO:
             self.memo.clear()  # it holds references too
-        memo, sent, ranks = self.memo, self.sent, self.ranks
+        memo, sent, single = self.memo, self.sent, self.single
         looked = [list(map(memo.get, units)) for units in group]
-        gaps = [[i for i, x in enumerate(found) if x is None] for found in looked]
+        gaps = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in looked]
         fresh = list({units[i] for units, own in zip(group, gaps, strict=True) for i in own})
         cut = [[p.encode() for p in self.cutter.pieces(unit)] for unit in fresh]
-        unknown = list({p for own in cut for p in own if p not in ranks})
-        ids = dict(zip(unknown, self.table.get(unknown, self.binary), strict=True))
+        unknown = list({p for own in cut for p in own if p not in single})
+        codes = dict(zip(unknown, self.table.get(unknown), strict=True))
         new: list[str] = []
-        codes: dict[bytes, bytes] = {}
-        for piece, found in ids.items():
-            if found is None:
-                at = sent.get(piece)
-                if at is None:
-                    at = sent[piece] = len(sent)
-                    new.append(piece.decode())
-                codes[piece] = (65536 + at).to_bytes(4, "little")
-            else:
-                codes[piece] = found.astype("<u4").tobytes()
+        for piece in [p for p, found in codes.items() if found is None]:
+            at = sent.get(piece)
+            if at is None:
+                at = sent[piece] = len(sent)
+                new.append(piece.decode())
+            codes[piece] = (65536 + at).to_bytes(4, "little")
         for unit, own in zip(fresh, cut, strict=True):
-            memo[unit] = b"".join([ranks[p].to_bytes(4, "little") if p in ranks else codes[p] for p in own])
+            memo[unit] = b"".join([single.get(p) or codes[p] for p in own])
         for units, found, own in zip(group, looked, gaps, strict=True):
             for i in own:
                 found[i] = memo[units[i]]
@@ -456,22 +454,24 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
     small_batches(spark)
     # the literals would otherwise stand whole in each plan's description, which the driver keeps
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")
-    shared = spark.sparkContext.broadcast((vocabulary.plain(), common_pieces(docs, vocabulary, text, most)))
+    plain = spark.sparkContext.broadcast(vocabulary.plain())
+    common = spark.sparkContext.broadcast(common_pieces(docs, vocabulary, text, most))
 
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = _Coder(*shared.value)
+        coder = _Coder(plain.value, common.value)
         for texts in batches:
             with _uncollected():
                 yield pd.DataFrame(list(coder.code(iter(texts))), columns=["codes", "new", "reset"])
 
     def fill(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        filler = _Filler(shared.value[0])
+        filler = _Filler(plain.value)
         for batch in batches:
             rows = []
-            for codes, new, reset, sizes, flat in zip(*batch, strict=True):
-                filler.take(new, np.asarray(sizes, dtype=np.int64), np.asarray(flat, dtype=np.uint32), reset)
-                ids = filler.fill(codes)
-                rows.append((ids.view(np.int32), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()))
+            with _uncollected():
+                for codes, new, reset, sizes, flat in zip(*batch, strict=True):
+                    filler.take(new, np.asarray(sizes, dtype=np.int64), np.asarray(flat, dtype=np.uint32), reset)
+                    ids = filler.fill(codes)
+                    rows.append((ids.view(np.int32), hashlib.sha256(ids).hexdigest()))
             yield pd.DataFrame(rows, columns=["ids", "sha256"])
 
     coded = F.pandas_udf(code, "codes binary, new array<string>, reset boolean").asNondeterministic()
