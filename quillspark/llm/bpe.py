@@ -40,8 +40,6 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -49,8 +47,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import small_batches, staged
 
-#: Pieces that are folded once for the whole table and broadcast, at most: about 36 bytes each when packed.
-COMMON = 1_500_000
+#: Pieces that are folded once for the whole table and broadcast, at most: about 28 bytes each when packed.
+COMMON = 1 << 20
 #: Bytes of a piece beyond which merges are kept in a heap.
 LONG = 400
 #: Units whose codes a task keeps, references that it numbers, and characters of text that it looks up at a time.
@@ -283,13 +281,14 @@ def piece_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 
 
 class _Packed:
-    """Ids of pieces, as little-endian 32-bit integers, found by 96 bits of hashes: XXH64 and CRC-32."""
+    """Ids of pieces, found by 96 bits of hashes: XXH64 and CRC-32. Ids are given as little-endian 32-bit integers."""
 
     def __init__(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.checks = hashes[order], checks[order].astype(np.uint32)
-        ends = 4 * np.cumsum(sizes, dtype=np.int64)
-        self.starts, self.sizes, self.data = (ends - 4 * sizes)[order].astype(np.uint32), sizes[order].astype(np.uint32), ids.astype("<u4").tobytes()
+        self.hashes, self.checks, self.sizes = hashes[order], checks[order], sizes[order]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.starts, self.ids = (ends - sizes)[order].astype(np.uint32), ids
+        self.data = b""  # of four bytes an id, made where it is used
 
     def get(self, pieces: list[bytes]) -> list[bytes | None]:
         """Ids of each piece, or None if the table doesn't hold it."""
@@ -303,27 +302,27 @@ class _Packed:
         at[order] = np.searchsorted(self.hashes, wanted[order])
         at[at == len(self.hashes)] = 0
         same = (self.hashes[at] == wanted) & (self.checks[at] == checks)
-        starts = self.starts[at].astype(np.int64)
-        data = self.data
-        return [data[a:b] if ok else None for a, b, ok in zip(starts.tolist(), (starts + 4 * self.sizes[at]).tolist(), same.tolist(), strict=True)]
+        self.data = data = self.data or self.ids.astype("<u4").tobytes()
+        starts = 4 * self.starts[at].astype(np.int64)
+        return [data[a:b] if ok else None for a, b, ok in zip(starts.tolist(), (starts + 4 * self.sizes[at].astype(np.int64)).tolist(), same.tolist(), strict=True)]
 
 
 def _packed(pieces: DataFrame) -> _Packed:
-    """A table of pieces and ids, ``COMMON`` rows at most, gathered on the driver."""
+    """A table of pieces and ids, ``COMMON`` rows at most, packed by the tasks and gathered on the driver part by part."""
     two_bytes = F.transform("ids", lambda i: F.substr(F.hex(i.cast("long") + 65536), F.lit(2)))
-    own = F.col("piece").cast("binary")
-    frame = pieces.select(F.xxhash64("piece").alias("h"), F.crc32(own).alias("c"), F.unhex(F.array_join(two_bytes, "")).alias("ids")).toArrow()
-    sizes = pc.binary_length(frame["ids"]).to_numpy() // 2
-    flat = np.concatenate([_bytes_of(chunk) for chunk in frame["ids"].chunks] or [np.zeros(0, np.uint8)])
-    return _Packed(frame["h"].to_numpy().view(np.uint64), frame["c"].to_numpy(), sizes, flat.view(">u2"))
-
-
-def _bytes_of(chunk: pa.Array) -> np.ndarray:
-    """The bytes of a binary array, one after another."""
-    _, offsets, data = chunk.buffers()
-    kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
-    ends = np.frombuffer(offsets, dtype=kind)[chunk.offset : chunk.offset + len(chunk) + 1]
-    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if len(chunk) else np.zeros(0, np.uint8)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = np.array([len(x) // 2 for x in batch["ids"]], dtype="<u4")
+            whole = (batch["h"].to_numpy().astype("<i8").tobytes(), batch["c"].to_numpy().astype("<u4").tobytes(), sizes.tobytes(), b"".join(batch["ids"]))
+            yield pd.DataFrame([whole], columns=["h", "c", "sizes", "ids"])
+
+    rows = pieces.select(F.xxhash64("piece").alias("h"), F.crc32(F.col("piece").cast("binary")).alias("c"), F.unhex(F.array_join(two_bytes, "")).alias("ids"))
+    parts = [bytearray() for _ in range(4)]
+    for row in rows.mapInPandas(pack, "h binary, c binary, sizes binary, ids binary").toLocalIterator():
+        for part, more in zip(parts, row, strict=True):
+            part += more
+    return _Packed(*(np.frombuffer(bytes(part), dtype=kind) for part, kind in zip(parts, ("<u8", "<u4", "<u4", ">u2"), strict=True)))
 
 
 def common_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", most: int = COMMON) -> _Packed:
