@@ -199,3 +199,55 @@ def mutate_case(text: Column, seed: int, key: Column, share: float) -> Column:
     """O-107: hashed coin per ASCII letter flips its case."""
     flip = lambda c, i: F.when(c.rlike("[A-Z]"), F.lower(c)).when(c.rlike("[a-z]"), F.upper(c)).otherwise(c)
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(uniform(seed, key, i) < share, flip(c, i)).otherwise(c)), "")
+
+
+def date_token(text: Column) -> Column:
+    """O-109: a day of the month, without leading zero."""
+    return text.rlike(r"^(?:[1-9]|[12][0-9]|3[01])$")
+
+
+def grouped_number(text: Column) -> Column:
+    """O-110: an integer with thousands separators, null if it is none."""
+    return F.regexp_replace(text, ",", "").try_cast("bigint")
+
+
+def hangul_count(text: Column) -> Column:
+    """O-113: Hangul syllables; the other characters are the rest of the length."""
+    return F.regexp_count(text, F.lit("[\uac00-\ud7a3]"))
+
+
+def canonical_hash(*columns: str) -> Column:
+    """O-114: SHA-256 of the columns as one JSON object, keys sorted, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
+
+
+def box_polygon(box: Column) -> Column:
+    """The four corners of (left, top, right, bottom), clockwise."""
+    return F.array(F.array(box[0], box[1]), F.array(box[2], box[1]), F.array(box[2], box[3]), F.array(box[0], box[3]))
+
+
+def first_polygon(*options: Column, box: Column) -> Column:
+    """O-137: the first polygon of at least three points, else that of the bounding box."""
+    usable = [F.when(F.size(p) >= 3, p) for p in options]
+    return F.coalesce(*usable, F.when(F.size(box) == 4, box_polygon(box)))
+
+
+#: Fixed values of a plausible quadrilateral: least share of the image, greatest ratio of sides, least side, least and greatest angle.
+LEAST_AREA, MOST_ASPECT, LEAST_SIDE, LEAST_ANGLE, MOST_ANGLE = 1e-5, 30.0, 1e-3, 5.0, 175.0
+
+
+def plausible_quad(p: Column, width: Column, height: Column) -> Column:
+    """O-131: convex, not too small for the image, sides and angles in bounds."""
+    corner = lambda i: p[i % 4]
+    along = lambda i, j: (corner(j)[0] - corner(i)[0], corner(j)[1] - corner(i)[1])
+    sides = [F.hypot(*along(i, i + 1)) for i in range(4)]
+
+    def angle(i: int) -> Column:
+        (ax, ay), (bx, by) = along(i, i + 3), along(i, i + 1)
+        cosine = (ax * bx + ay * by) / F.greatest(F.lit(1e-9), F.hypot(ax, ay) * F.hypot(bx, by))
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+
+    angles = [angle(i) for i in range(4)]
+    area = polygon_area(p) / F.greatest(F.lit(1.0), (width * height).cast("double")) >= LEAST_AREA
+    side = (F.least(*sides) > LEAST_SIDE) & (F.greatest(*sides) <= MOST_ASPECT * F.least(*sides))
+    return F.coalesce(is_convex_quad(p) & area & side & (F.least(*angles) >= LEAST_ANGLE) & (F.greatest(*angles) <= MOST_ANGLE), F.lit(False))

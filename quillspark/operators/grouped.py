@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,10 +43,10 @@ def cluster_embeddings(df: DataFrame, image: str, key: str, vector: str, thresho
 
 def row_clusters(boxes: list[tuple[float, float, float, float]]) -> list[int]:
     """O-153: row number of each box. In order of centre height, a box joins the row whose median centre is nearest,
-    if within 0.65 of the larger of its own height and the row's median height; rows are numbered downwards."""
+    if within 0.65 of the larger of its own height (1 at least) and the row's median height; rows are numbered downwards."""
     rows: list[list[int]] = []
     mid = [(b[1] + b[3]) / 2 for b in boxes]
-    tall = [b[3] - b[1] for b in boxes]
+    tall = [max(1.0, b[3] - b[1]) for b in boxes]
     for i in sorted(range(len(boxes)), key=lambda i: mid[i]):
         near = [(abs(mid[i] - float(np.median([mid[k] for k in row]))), n) for n, row in enumerate(rows)]
         near = [(d, n) for d, n in near if d <= 0.65 * max(tall[i], float(np.median([tall[k] for k in rows[n]])))]
@@ -66,74 +69,96 @@ def cluster_rows(df: DataFrame, image: str, key: str, box: str) -> DataFrame:
     return df.select(image, key, box).groupBy(image).applyInPandas(run, f"{image} long, {key} long, row_no long")
 
 
-def align_headers(items: list[tuple[str, tuple[float, float, float, float]]]) -> list[tuple[int, int, str, str]]:
-    """O-154: (row, day, name, text) cells. The header is the row with most day numbers, then most steps of one; a day seen
-    twice keeps its last place; missing days 1 to 31 are placed from the nearest placed one by the median spacing; an
-    item takes the nearest day within 0.55 of the spacing; what lies left of the first day names the row, rightmost wins."""
-    import re
+#: How far left of the first day names end, and how far from a day its cells lie, in column spacings.
+NAME_LIMIT, CELL_LIMIT = 0.35, 0.55
+_DAY = re.compile(r"^(?:[1-9]|[12][0-9]|3[01])$")
+
+
+def align_headers(items: list[tuple[str, tuple[float, float, float, float]]]) -> tuple[list[tuple[int, int, str, str]], dict]:
+    """O-154 (O-109): cells (row, column, text, kind) and a summary (confidence, header_count, spacing, missing_columns, failure).
 
+    The header is the row with most day numbers, then most steps of one, then the uppermost. A day seen twice keeps its
+    last place. Days 1 to 31 that are missing are placed in order from the nearest placed one (the first placed in a
+    tie) by the median of the gaps between header places. Below the header, what lies left of day 1 is the row's name
+    (the rightmost, in column 0); other items go to the nearest day, if that is near enough.
+    """
     rows: dict[int, list[int]] = {}
     for i, n in enumerate(row_clusters([b for _, b in items])):
         rows.setdefault(n, []).append(i)
-    centre = [(b[0] + b[2]) / 2 for _, b in items]
-    is_day = re.compile(r"^(?:[1-9]|[12][0-9]|3[01])$")
-
-    def rating(row: list[int]) -> tuple[int, float]:
-        days = sorted({int(items[i][0]) for i in row if is_day.match(items[i][0])})
-        gaps = [b - a for a, b in zip(days, days[1:], strict=False)]
-        return len(days), sum(g == 1 for g in gaps) / max(1, len(gaps))
-
+    nothing = {"confidence": 0.0, "header_count": 0, "spacing": None, "missing_columns": []}
     if not rows:
-        return []
-    head = max(rows, key=lambda n: (*rating(rows[n]), -n))
-    place = {int(items[i][0]): centre[i] for i in sorted(rows[head], key=lambda i: centre[i]) if is_day.match(items[i][0])}
-    if len(place) < 2:
-        return []
-    known = sorted(place)
-    spacing = float(np.median([(place[b] - place[a]) / (b - a) for a, b in zip(known, known[1:], strict=False)]))
+        return [], nothing | {"failure": "no_rows"}
+    centre = [(b[0] + b[2]) / 2 for _, b in items]
+    across = {n: sorted(row, key=lambda i: centre[i]) for n, row in rows.items()}
+
+    def rating(n: int) -> tuple[int, float, int]:
+        days = sorted({int(items[i][0]) for i in rows[n] if _DAY.match(items[i][0])})
+        steps = sum(y - x == 1 for x, y in zip(days, days[1:], strict=False))
+        return len(days), steps / max(1, len(days) - 1), -n
+
+    head = max(rows, key=rating)
+    dated = sorted((i for i in across[head] if _DAY.match(items[i][0])), key=lambda i: int(items[i][0]))
+    if len(dated) < 2:
+        return [], nothing | {"failure": "date_header_not_found"}
+    place = {int(items[i][0]): centre[i] for i in dated}
+    seen = set(place)
+    at = sorted(place.values())
+    gaps = [y - x for x, y in zip(at, at[1:], strict=False) if y > x]
+    spacing = float(np.median(gaps)) if gaps else 1.0
     for day in range(1, 32):
         if day not in place:
-            anchor = min(place, key=lambda d: (abs(d - day), d))
-            place[day] = place[anchor] + (day - anchor) * spacing
-    first = min(place[d] for d in known) - 0.55 * spacing
-    out = []
-    for n, row in rows.items():
-        if n <= head:
-            continue
-        left = [i for i in row if centre[i] < first]
-        name = items[max(left, key=lambda i: centre[i])][0] if left else ""
-        for i in row:
-            day = min(place, key=lambda d: (abs(place[d] - centre[i]), d))
-            if i not in left and abs(place[day] - centre[i]) <= 0.55 * abs(spacing):
-                out.append((n, day, name, items[i][0]))
-    return sorted(out)
-
-
-def topology_bands(intervals: list[tuple[float, float]]) -> list[int]:
-    """O-152: band number of each interval, from 1. Distinct intervals (to 6 places) in order of (centre, extent, low)
-    join the nearest compatible band: extents alike to 0.67, and 0.60 of the smaller extent common to all; the base
-    extent is the upper median, and centres may spread by half of it."""
-    rounded = [(round(a, 6), round(b, 6)) for a, b in intervals]
-    distinct = sorted(set(rounded), key=lambda x: ((x[0] + x[1]) / 2, x[1] - x[0], x[0]))
-    extents = sorted(b - a for a, b in distinct)
-    base = extents[len(extents) // 2] if extents else 0.0
+            known = min(place, key=lambda d: abs(d - day))
+            place[day] = place[known] + (day - known) * spacing
+    edge = place[1] - NAME_LIMIT * spacing
+    cells, tried, hit = [], 0, 0
+    for number, n in enumerate(sorted(n for n in rows if n > head), start=1):
+        names = [i for i in across[n] if centre[i] < edge]
+        if names:
+            cells.append((number, 0, items[max(names, key=lambda i: centre[i])][0], "name"))
+        for i in across[n]:
+            if centre[i] >= edge:
+                tried += 1
+                day = min(place, key=lambda d: abs(place[d] - centre[i]))
+                if abs(place[day] - centre[i]) <= CELL_LIMIT * spacing:
+                    hit += 1
+                    cells.append((number, day, items[i][0], "shift_code"))
+    confidence = 0.55 * min(1.0, len(dated) / 20) + 0.45 * hit / max(1, tried)
+    return cells, {"confidence": confidence, "header_count": len(dated), "spacing": spacing, "missing_columns": [d for d in range(1, 32) if d not in seen], "failure": None}
+
+
+#: Fixed values of the bands: least ratio of extents, least share of the larger extent common to all, and how far
+#: centres and either boundary may spread: by this part of the base extent, or so many pixels.
+EXTENT_RATIO, COMMON_SHARE, SPREAD_SHARE, SPREAD_PIXELS = 0.67, 0.60, 0.25, 1.5
+
+
+def topology_bands(intervals: list[tuple[float, float] | None]) -> list[int | None]:
+    """O-152: band number of each interval, from 1; null for null. Distinct intervals (to 6 places) in order of (centre, extent, low) join the
+    compatible band whose mean centre, weighted by occurrences, is nearest. The base extent is the upper median of all intervals' extents."""
+    given = [x for x in intervals if x is not None]
+    extents = sorted(b - a for a, b in given)
+    base = extents[len(extents) // 2] if extents else 1.0
+    spread = max(SPREAD_PIXELS, SPREAD_SHARE * base)
+    weight = Counter((round(a, 6), round(b, 6)) for a, b in given)
+    mid = lambda x: (x[0] + x[1]) / 2
+    width = lambda values: max(values) - min(values)
     bands: list[list[tuple[float, float]]] = []
-    for x in distinct:
-        mid, extent = (x[0] + x[1]) / 2, x[1] - x[0]
+    for x in sorted(weight, key=lambda x: (mid(x), x[1] - x[0], x[0])):
         fits = []
         for n, band in enumerate(bands):
-            sizes = [b - a for a, b in [*band, x]]
-            common = min(b for _, b in [*band, x]) - max(a for a, _ in [*band, x])
-            mids = [(a + b) / 2 for a, b in band]
-            if min(sizes) >= 0.67 * max(sizes) and common >= 0.60 * min(sizes) and max([*mids, mid]) - min([*mids, mid]) <= 0.5 * base:
-                fits.append((abs(mid - sum(mids) / len(mids)), n))
-        if fits and extent > 0:
+            every = [*band, x]
+            lows, highs = [a for a, _ in every], [b for _, b in every]
+            sizes = [b - a for a, b in every]
+            alike = max(sizes) > 0 and min(sizes) / max(sizes) >= EXTENT_RATIO and (min(highs) - max(lows)) / max(sizes) >= COMMON_SHARE
+            if alike and max(width(lows), width(highs), width([mid(y) for y in every])) <= spread:
+                mean = sum(mid(y) * weight[y] for y in band) / sum(weight[y] for y in band)
+                fits.append((abs(mean - mid(x)), n))
+        if fits:
             bands[min(fits)[1]].append(x)
         else:
             bands.append([x])
-    bands.sort(key=lambda band: sum(a + b for a, b in band) / len(band))
+    bands.sort(key=lambda band: sum(mid(y) * weight[y] for y in band) / sum(weight[y] for y in band))
     number = {x: n + 1 for n, band in enumerate(bands) for x in band}
-    return [number[x] for x in rounded]
+    return [None if x is None else number[round(x[0], 6), round(x[1], 6)] for x in intervals]
 
 
 def greedy_match(found: list, expected: list, least: float = 0.5) -> list[tuple[int, int, float]]:

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import exprs
+from quillspark.functions import exprs, udfs
 
 #: The split that each purpose may read.
 PURPOSE_SPLIT = {"train": "train", "cv": "train", "select": "validation", "threshold": "validation", "quantize": "validation", "route": "validation"}
@@ -25,12 +25,30 @@ def with_dimension(facts: DataFrame, dimension: DataFrame, key: str) -> DataFram
     return joined.where(F.coalesce("_found", missing)).drop("_found")
 
 
-def authorised(records: DataFrame, split: DataFrame, purpose: str, key: str = "schedule_id") -> DataFrame:
-    """O-48: records whose split the purpose may read; cross-validation needs a fold of 0 to 2."""
+def authorised(records: DataFrame, split: DataFrame, purpose: str, key: str = "schedule_id", declared: str | None = None) -> DataFrame:
+    """O-48, O-49: records with their split; one that the purpose may not read is an error, as is a column ``declared`` that
+    states another split, and a cross-validation fold other than 0, 1, 2."""
+    joined = with_dimension(records, split, key)
+
+    def fails(when: Column, what: str) -> Column:
+        return F.when(when, F.raise_error(F.concat(F.lit(f"{what}: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+
+    checks = F.lit(True)
+    if declared:
+        checks = checks & fails(F.col(declared).isNotNull() & (F.col(declared) != F.col("split")), "declared split differs")
+    if purpose in PURPOSE_SPLIT:
+        checks = checks & fails(~F.col("split").eqNullSafe(PURPOSE_SPLIT[purpose]), f"split not allowed for {purpose}")
+    if purpose == "cv":
+        checks = checks & fails(~F.coalesce(F.col("cv_fold").isin(0, 1, 2), F.lit(False)), "invalid fold")
+    return joined.where(checks)
+
+
+def for_purpose(records: DataFrame, split: DataFrame, purpose: str, key: str = "schedule_id") -> DataFrame:
+    """O-17, O-18: the records that the purpose may read, the others left out; one unknown to ``split`` is an error."""
     joined = with_dimension(records, split, key)
     if purpose in PURPOSE_SPLIT:
         joined = joined.where(F.col("split") == PURPOSE_SPLIT[purpose])
-    return joined.where(F.col("cv_fold").between(0, 2)) if purpose == "cv" else joined
+    return joined.where(F.col("cv_fold").isin(0, 1, 2)) if purpose == "cv" else joined
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -162,9 +180,9 @@ def stratified_split(df: DataFrame, key: str, strata: Sequence[str], seed: int,
     """
     stratum = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in strata))
     keyed = df.withColumn("_stratum", stratum)
-    counts = {(r["_stratum"],): r["count"] for r in keyed.groupBy("_stratum").count().collect()}
+    counts = {tuple(r["_stratum"].split("\x1f")): r["count"] for r in keyed.groupBy("_stratum").count().collect()}
     seats = hamilton_seats(counts, ratios, seed)
-    rows = [(k[0], *(sum(seats[k][s] for s, _ in ratios[: i + 1]) for i in range(len(ratios)))) for k in seats]
+    rows = [("\x1f".join(k), *(sum(seats[k][s] for s, _ in ratios[: i + 1]) for i in range(len(ratios)))) for k in seats]
     limits = df.sparkSession.createDataFrame(rows, ", ".join(["_stratum string", *(f"_upto{i} long" for i in range(len(ratios)))]))
     order = Window.partitionBy("_stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
     numbered = keyed.withColumn("_rn", F.row_number().over(order)).join(F.broadcast(limits), "_stratum")
@@ -198,15 +216,19 @@ def last_by_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("_rn = 1").drop("_rn")
 
 
-def evaluate_cells(truth: DataFrame, prediction: DataFrame) -> DataFrame:
+def evaluate_cells(truth: DataFrame, prediction: DataFrame, order: Column | None = None) -> DataFrame:
     """O-67: one row of accuracies from (schedule_id, row_index, day, text), truth with ``ignore``.
 
+    Of rows that repeat a key the last by ``order`` counts, by default the last read.
+
     Full outer join on the key, then rows and schedules are exact if all their cells are. Ratios have
     a denominator of 1 at least. A prediction without truth (ignored truth included) is a false positive.
     """
     key = ["schedule_id", "row_index", "day"]
-    t = truth.where(~F.coalesce(F.col("ignore"), F.lit(False))).select(*key, F.coalesce("text", F.lit("")).alias("truth"))
-    p = prediction.select(*key, F.coalesce("text", F.lit("")).alias("found"))
+    order = F.monotonically_increasing_id() if order is None else order
+    latest = lambda df: df.withColumn("_at", order).groupBy(*key).agg(F.max_by("text", "_at").alias("text"))
+    t = latest(truth.where(~F.coalesce(F.col("ignore"), F.lit(False))).withColumn("text", F.coalesce("text", F.lit("")))).withColumnRenamed("text", "truth")
+    p = latest(prediction.withColumn("text", F.coalesce("text", F.lit("")))).withColumnRenamed("text", "found")
     joined = t.join(p, key, "full_outer")
     cells = joined.where("truth is not null").select(
         "schedule_id", "row_index", F.coalesce(F.col("truth") == F.col("found"), F.lit(False)).alias("exact"),
@@ -236,29 +258,50 @@ def bootstrap_interval(values: DataFrame, value: str, order: str, rounds: int =
     return mean.join(sorted_means).select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "low", "high")))
 
 
-def choose_route(results: DataFrame, baseline: str = "A", loss: float = 0.005, gain: float = 0.15) -> DataFrame:
-    """O-94: on validation results only, of the routes within ``loss`` of the baseline's accuracy and ``gain``
-    better in latency or memory, that of least (latency, memory); else the baseline."""
-    ok = results.where(F.col("split") == F.when(F.col("split") == "validation", "validation").otherwise(F.raise_error("selection uses validation results only").cast("string")))
-    base = ok.where(F.col("route") == baseline).select(F.col("accuracy").alias("a0"), F.col("p95").alias("p0"), F.col("mem").alias("m0"))
-    rated = ok.join(base)  # the baseline is one row
-    fit = (F.col("route") != baseline) & (F.col("a0") - F.col("accuracy") <= loss) & ((F.col("p95") <= (1 - gain) * F.col("p0")) | (F.col("mem") <= (1 - gain) * F.col("m0")))
-    return rated.agg(F.coalesce(F.min_by(F.when(fit, F.col("route")), F.when(fit, F.struct("p95", "mem", "route"))), F.lit(baseline)).alias("route"))
+#: The routes, the one compared with, and those that may replace it.
+ROUTES, ROUTE_BASELINE, ROUTE_CANDIDATES = ("A", "B", "C", "D"), "D", ("A", "C")
+
+
+def choose_route(results: DataFrame, loss: float = 0.005, gain: float = 0.15) -> DataFrame:
+    """O-94: of the candidates that lose at most ``loss`` accuracy against the baseline and save ``gain`` of its latency or
+    memory, that of least (latency, memory); if there is none, of all routes the most accurate, then fastest, then smallest.
+
+    Exactly the four routes are asked for, with validation results; else an error. One row a route.
+    """
+    given = results.agg(F.sort_array(F.collect_list("route")).alias("routes"), F.bool_and(F.col("split").eqNullSafe("validation")).alias("ok"))
+    checked = results.join(given)  # one row
+    wrong = F.raise_error(F.lit("route selection takes validation results of each of the four routes")).cast("boolean")
+    checked = checked.where(F.when((F.col("routes") == F.array(*map(F.lit, ROUTES))) & F.col("ok"), True).otherwise(wrong))
+    base = results.where(F.col("route") == ROUTE_BASELINE).select(F.col("accuracy").alias("a0"), F.col("p95").alias("p0"), F.col("mem").alias("m0"))
+    saved = F.greatest(1 - F.col("p95") / F.greatest(F.lit(1e-9), "p0"), 1 - F.col("mem") / F.greatest(F.lit(1e-9), "m0"))
+    fit = F.col("route").isin(*ROUTE_CANDIDATES) & (F.col("a0") - F.col("accuracy") <= loss) & (saved >= gain)
+    frugal = F.min_by(F.when(fit, F.col("route")), F.when(fit, F.struct("p95", "mem", "route")))
+    accurate = F.min_by("route", F.struct(-F.col("accuracy"), "p95", "mem", "route"))
+    return checked.join(base).agg(F.coalesce(frugal, accurate).alias("route"))
 
 
 def choose_profile(results: DataFrame, max_loss: float = 0.005) -> DataFrame:
-    """O-95: of usable profiles within ``max_loss`` (missing loss counts as 1), that of least (latency, memory, size)."""
+    """O-95: of usable profiles within ``max_loss`` (missing loss counts as 1), that of least (latency, memory, size).
+
+    A ``split`` column must say validation throughout; that nothing fits is an error.
+    """
+    if "split" in results.columns:
+        wrong = F.raise_error(F.lit("profile selection takes validation results only")).cast("boolean")
+        results = results.where(F.when(F.col("split").eqNullSafe("validation"), True).otherwise(wrong))
     fit = F.coalesce("usable", F.lit(True)) & (F.coalesce("accuracy_loss", F.lit(1.0)) <= max_loss)
-    return results.where(fit).agg(F.min_by("profile", F.struct("p95", "mem", "size", "profile")).alias("profile"))
+    found = results.where(fit).agg(F.min_by("profile", F.struct("p95", "mem", "size", "profile")).alias("profile"))
+    return found.select(F.coalesce("profile", F.raise_error(F.lit("no profile within the permitted loss"))).alias("profile"))
 
 
-def running_best(epochs: DataFrame, partition: str, order: str, metric: str, tie: str) -> DataFrame:
-    """O-96: the first epoch that no later one beats: higher metric, or an equal one (to 1e-9 relative) with a lower tie-breaker."""
+def running_best(epochs: DataFrame, partition: str, order: str, metric: str, tie: str, mode: str = "max") -> DataFrame:
+    """O-96: the first epoch that no later one beats: better metric (higher, or lower in mode min), or an equal one (to 1e-9 relative) with a lower tie-breaker."""
+    if mode not in ("max", "min"):
+        raise ValueError(f"unknown mode {mode}")
     items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("e"), F.col(metric).alias("m"), F.col(tie).alias("t"))))
 
     def better(acc: Column, x: Column) -> Column:
         same = F.abs(acc["m"] - x["m"]) <= F.greatest(F.lit(1e-12), 1e-9 * F.greatest(F.abs(acc["m"]), F.abs(x["m"])))
-        return F.when(F.when(same, x["t"] < acc["t"]).otherwise(x["m"] > acc["m"]), x).otherwise(acc)
+        return F.when(F.when(same, x["t"] < acc["t"]).otherwise(x["m"] > acc["m"] if mode == "max" else x["m"] < acc["m"]), x).otherwise(acc)
 
     return epochs.groupBy(partition).agg(items.alias("i")).select(partition, F.aggregate(F.slice("i", 2, F.size("i")), F.col("i")[0], better).alias("b")).select(partition, F.col("b.e").alias("epoch"), F.col("b.m").alias("metric"))
 
@@ -274,16 +317,22 @@ def char_coverage(df: DataFrame, text: Column, charset: DataFrame) -> DataFrame:
     return chars.join(charset.select("ch").distinct().withColumn("known", F.lit(True)), "ch", "left").select("ch", "n", F.coalesce("known", F.lit(False)).alias("in_charset"))
 
 
-def canonicalise(df: DataFrame, text: str, codes: DataFrame) -> DataFrame:
-    """O-105: ``canonical`` by exact spelling, else by folded spelling (the last code listed wins), else null.
+def canonicalise(df: DataFrame, text: str, codes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """O-105: ``canonical`` of the stripped, NFC-composed text: by alias, by exact spelling, by case-folded spelling (the last code listed wins), else null.
 
-    ``codes(code, ord)``; the fold is lower case, see udfs.casefold for full folding.
+    ``codes(code, ord)``; ``aliases(alias, code)`` are matched case-folded and go before all else.
     """
+    fold = lambda c: udfs.casefold(udfs.nfc(F.trim(c)))
     exact = codes.select(F.col("code").alias("_exact"), F.col("code").alias("_by_exact")).distinct()
-    folded = codes.groupBy(F.lower("code").alias("_fold")).agg(F.max_by("code", "ord").alias("_by_fold"))
-    cleaned = df.withColumn("_text", F.trim(text))
-    joined = cleaned.join(exact, F.col("_text") == F.col("_exact"), "left").join(folded, F.lower("_text") == F.col("_fold"), "left")
-    return joined.withColumn("canonical", F.coalesce("_by_exact", "_by_fold")).drop("_text", "_exact", "_by_exact", "_fold", "_by_fold")
+    folded = codes.groupBy(fold(F.col("code")).alias("_fold")).agg(F.max_by("code", "ord").alias("_by_fold"))
+    cleaned = df.withColumn("_text", udfs.nfc(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
+    cleaned = cleaned.withColumn("_key", udfs.casefold(F.col("_text")))
+    joined = cleaned.join(exact, F.col("_text") == F.col("_exact"), "left").join(folded, F.col("_key") == F.col("_fold"), "left")
+    found = F.coalesce("_by_exact", "_by_fold")
+    if aliases is not None:
+        named = aliases.groupBy(fold(F.col("alias")).alias("_alias")).agg(F.max("code").alias("_by_alias"))
+        joined, found = joined.join(named, F.col("_key") == F.col("_alias"), "left"), F.coalesce("_by_alias", found)
+    return joined.withColumn("canonical", found).drop("_text", "_key", "_exact", "_by_exact", "_fold", "_by_fold", "_alias", "_by_alias")
 
 
 def cv_partition(records: DataFrame, fold: Column, held_out: int, split: str = "split") -> DataFrame:
@@ -320,3 +369,69 @@ def dataset_plan(ids: DataFrame, root_seed: int, templates: Sequence[str], prefi
     for column, (least, n) in draws.items():
         plan = plan.withColumn(column, least + (exprs.hex_prefix(F.concat_ws(":", "seed", F.lit(column)), 8) % n).cast("int"))
     return plan
+
+
+def multiset_difference(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """O-103: rows of ``columns`` that the two encodings hold in different numbers, and both counts; empty if they are equal."""
+    both = a.select(*columns, F.lit(1).alias("_a"), F.lit(0).alias("_b")).union(b.select(*columns, F.lit(0), F.lit(1)))
+    return both.groupBy(*columns).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b")).where("n_a <> n_b")
+
+
+def verified_scan(df: DataFrame, canonical: Column, expected: str) -> DataFrame:
+    """O-05: ``df`` after a full pass that finds its checksum as ``expected``; else an error before any row is read."""
+    found = finish_checksum(checksum_limbs(df, canonical).first())
+    if found != expected:
+        raise ValueError(f"checksum {found}, expected {expected}")
+    return df
+
+
+def missing_from(needed: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """O-102: the keys of ``needed`` that ``given`` lacks; empty if it covers them."""
+    return needed.select(key).distinct().join(given.select(key), key, "left_anti")
+
+
+def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """O-102: ``df`` if it has all ``columns``."""
+    lacking = sorted(set(columns) - set(df.columns))
+    if lacking:
+        raise ValueError(f"missing columns {lacking}")
+    return df
+
+
+def unnest_rows(schedules: DataFrame, rows: str, parents: Sequence[str], ordinal: str = "row_no") -> DataFrame:
+    """O-33: one row per element of the array ``rows``, with its ordinal from 1 and the parent's columns."""
+    spread = schedules.select(*parents, F.posexplode(rows).alias("_pos", "_row"))
+    return spread.select(*parents, (F.col("_pos") + 1).alias(ordinal), "_row.*")
+
+
+def all_families(*parts: DataFrame) -> DataFrame:
+    """O-101, O-28: the rows of all parts, columns by name, absent ones null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def known_ids(truth: DataFrame, prediction: DataFrame, key: str) -> DataFrame:
+    """O-100: ids that either side has."""
+    return truth.select(key).union(prediction.select(key)).distinct()
+
+
+def with_metadata(annotations: DataFrame, metadata: DataFrame, key: str = "schedule_id") -> DataFrame:
+    """O-56f: annotations with their shard metadata; one without is an error."""
+    return with_dimension(annotations, metadata, key)
+
+
+def or_jitter(truth: DataFrame, predicted: DataFrame, key: str, box: str, least_iou: float = 0.45, least_confidence: float = 0.35) -> DataFrame:
+    """O-56i: each truth cell with the predicted box if that is good enough (``gt_iou``, ``confidence``), else marked for jitter."""
+    good = predicted.where((F.col("gt_iou") >= least_iou) & (F.col("confidence") >= least_confidence)).select(key, F.col(box).alias("_found"))
+    joined = truth.join(good, key, "left")
+    return joined.withColumn("box_source", F.when(F.col("_found").isNotNull(), "prediction").otherwise("jitter")).withColumn(box, F.coalesce("_found", box)).drop("_found")
+
+
+def registration_accepted(checks: Sequence[Column]) -> Column:
+    """O-52: whether all checks hold; an unknown one doesn't."""
+    out = F.lit(True)
+    for check in checks:
+        out = out & F.coalesce(check, F.lit(False))
+    return out

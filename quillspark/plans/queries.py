@@ -293,8 +293,10 @@ _ROUTES = "SELECT chr(65 + (s_suppkey % 4)::INT) AS route, 0.9 + avg(s_suppkey %
 
 
 @query(f"""
-    WITH r AS ({_ROUTES}), b AS (SELECT accuracy AS a0, p95 AS p0, mem AS m0 FROM r WHERE route = 'A')
-    SELECT coalesce((SELECT route FROM r, b WHERE route <> 'A' AND a0 - accuracy <= 0.005 AND (p95 <= 0.85 * p0 OR mem <= 0.85 * m0) ORDER BY p95, mem, route LIMIT 1), 'A') AS route
+    WITH r AS ({_ROUTES}), d AS (SELECT accuracy AS a0, p95 AS p0, mem AS m0 FROM r WHERE route = 'D'),
+    fit AS (SELECT route FROM r, d WHERE route IN ('A', 'C') AND a0 - accuracy <= 0.005 AND greatest(1 - p95 / greatest(1e-9, p0), 1 - mem / greatest(1e-9, m0)) >= 0.15 ORDER BY p95, mem, route LIMIT 1),
+    best AS (SELECT route FROM r ORDER BY accuracy DESC, p95, mem, route LIMIT 1)
+    SELECT coalesce((SELECT route FROM fit), (SELECT route FROM best)) AS route
 """)
 def guarded_selection(spark, sf):
     """O-94 on figures derived from suppliers."""
@@ -577,10 +579,10 @@ def header_alignment(spark, sf):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("event_id")
-        cells = grouped.align_headers(list(zip(group["text"], (tuple(b) for b in group["box"]), strict=True)))
-        return pd.DataFrame([(group["image"].iloc[0], *c) for c in cells], columns=["image", "row_no", "day", "name", "text"])
+        cells, _ = grouped.align_headers(list(zip(group["text"], (tuple(b) for b in group["box"]), strict=True)))
+        return pd.DataFrame([(group["image"].iloc[0], *c) for c in cells], columns=["image", "row_no", "day", "text", "kind"])
 
-    return texted.groupBy("image").applyInPandas(run, "image long, row_no long, day long, name string, text string")
+    return texted.groupBy("image").applyInPandas(run, "image long, row_no long, day long, text string, kind string")
 
 
 @query()

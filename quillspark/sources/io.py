@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 POLYGON = T.ArrayType(T.ArrayType(T.DoubleType()))
 BOX = T.ArrayType(T.DoubleType())
-#: O-42: the object table as a stable superset; fields absent from a source come out null.
+#: O-42: fixed values, the columns of the object table as a stable superset; fields absent from a source come out null.
 OBJECTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("schedule_id", "split", "template_id", "layout_family", "object_type", "display_text", "canonical_code", "registration_profile", "row_id", "source_domain", "image_path")]
     + [T.StructField(n, T.LongType()) for n in ("cv_fold", "row_index", "day", "image_width", "image_height")]
@@ -30,14 +30,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """O-20, O-25: an existing target is refused."""
-    df.write.mode("errorifexists").json(path)
+    """O-20, O-25: an existing target is refused; null fields are written."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """O-19, O-21, O-40: declared columns only; nested ones as JSON text."""
+    """O-19, O-21, O-40: declared columns only, after a byte-order mark; nested ones as JSON text."""
     flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name) for f in df.schema.fields]
-    df.select(*flat).write.mode("errorifexists").csv(path, header=True, quote='"', escape='"')
+    out = df.select(*flat).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    out.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"')
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
