@@ -403,7 +403,7 @@ _QUAD_SQL = """
 
 @query(_QUAD_SQL + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(w * h, 6) AS area, true AS convex, x + w <= 1000 AND y + h <= 300 AS inside, CASE WHEN x + w > 1001 OR y + h > 301 THEN 'outside_image' END AS reason, x AS x0, y + h AS y1 FROM q")
 def polygon_metrics(spark, sf):
-    """O-128 to O-133."""
+    """O-128 to O-130, O-132, O-133."""
     q, w, h = F.col("quad"), F.lit(1000.0), F.lit(300.0)
     box = exprs.bounding_box(q)
     return _quads(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.round(exprs.polygon_area(q), 6).alias("area"), exprs.is_convex_quad(q).alias("convex"), exprs.inside_image(q, w, h).alias("inside"), exprs.quad_reason(q, w, h).alias("reason"), box[0].alias("x0"), box[3].alias("y1"))
@@ -468,14 +468,14 @@ def palette_index(spark, sf):
 
 @query("SELECT p_partkey, least((p_partkey % 30) // greatest(5, round_even(30 / 3.0, 0))::BIGINT + 1, 3)::INTEGER AS grp, (p_partkey % 6 + 1)::BIGINT AS team, CASE WHEN p_size <= 10 THEN 'small' ELSE p_type END AS title, regexp_matches(p_brand, '[A-Za-z]') AS has_letter FROM part")
 def derived_labels(spark, sf):
-    """O-36, O-39, O-43, O-108."""
+    """O-36, O-39, O-108, and O-43 in part."""
     k = F.col("p_partkey")
     return table(spark, sf, "part").select("p_partkey", exprs.group_label(k % 30, F.lit(30)).alias("grp"), (k % 6 + 1).alias("team"), F.when(F.col("p_size") <= 10, "small").otherwise(F.col("p_type")).alias("title"), F.col("p_brand").rlike("[A-Za-z]").alias("has_letter"))
 
 
 @query("SELECT label, count(*) AS n, round(min(list_min(embedding)), 6) AS low, round(max(list_max(embedding)), 6) AS high FROM embeddings GROUP BY 1")
 def embedding_bounds(spark, sf):
-    """O-109: array columns of floats."""
+    """Least and greatest components of an array column."""
     e = table(spark, sf, "embeddings").select("label", F.array_min("embedding").cast("double").alias("a"), F.array_max("embedding").cast("double").alias("b"))
     return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.min("a"), 6).alias("low"), F.round(F.max("b"), 6).alias("high"))
 
@@ -609,7 +609,7 @@ def embedding_components(spark, sf):
     SELECT page_id, target, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target, label) AS k FROM n) WHERE k = 1
 """)
 def html_rank_extract(spark, sf):
-    """O-11, O-12: entries of a page's list, each once."""
+    """O-11, O-12 in part: entries of a page's list, each once."""
     pattern = F.lit(r'<a href="/([^"]*)">([^<]*)</a>')
     zipped = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("target"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
     return table(spark, sf, "pages").select("page_id", F.explode(zipped).alias("x")).select("page_id", "x.target", "x.label").distinct()
