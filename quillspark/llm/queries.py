@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+@lru_cache(maxsize=1)
 def vocabulary() -> bpe.Vocabulary:
+    """The contract's vocabulary, built once a process: its tables take memory of the driver."""
     return bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
