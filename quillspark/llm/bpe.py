@@ -20,8 +20,8 @@ a break) are therefore merged with a heap in the task that holds them, with the
 
 Defined results: a null text is encoded as an empty one, with no ids; repeated
 rows are encoded alike; an empty table gives an empty result; other columns, of any type, pass
-through untouched. Two session options are lowered while these plans run: rows an Arrow batch, and the length of plan
-descriptions, which would hold the literals.
+through untouched. Three session options are lowered for these plans: rows an Arrow batch, the length of plan
+descriptions and the fields that they name, which would hold the literals.
 """
 
 from __future__ import annotations
@@ -451,8 +451,9 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    # the literals would otherwise stand whole in each plan's description, which the driver keeps
+    # the literals would otherwise stand whole in each plan's description and in its nodes', which the driver keeps
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "0")
     plain = spark.sparkContext.broadcast(vocabulary.plain())
     common = spark.sparkContext.broadcast(common_pieces(docs, vocabulary, text, most))
 
