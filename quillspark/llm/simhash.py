@@ -42,6 +42,7 @@ from math import comb, prod
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -329,8 +330,10 @@ def near_links(fps: DataFrame, shared: DataFrame, layout: list[list[list[int]]],
     members = shared.join(fps.select("id", *_words_of(fps, n)), "id")
     rows = members.select("key", block.alias("block"), F.xxhash64("key", "id").alias("order"), "id", *(f"w{k}" for k in range(n)))
 
+    check = _chain_check(layout, max_bits)
+
     def run(mat: np.ndarray) -> pd.DataFrame:
-        i, j, bits = block_links(mat[:, 0], mat[:, 1], mat[:, 4:].view(np.uint64), _chain_check(layout, max_bits))
+        i, j, bits = block_links(mat[:, 0], mat[:, 1], mat[:, 4:].view(np.uint64), check)
         a, b = mat[i, 3], mat[j, 3]
         return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b), "bits": bits})
 
@@ -356,8 +359,10 @@ def cross_links(fps: DataFrame, shared: DataFrame, roots: DataFrame, layout: lis
     asked = rows.where("root <> main").select(*own, deal("asks").alias("ask"), every("blocks").alias("block"), F.lit(1).alias("asked"))
     both = held.unionByName(asked).select("key", "block", "ask", F.col("asked").alias("order"), "id", "root", *(f"w{k}" for k in range(n)))
 
+    check = _chain_check(layout, max_bits)
+
     def run(mat: np.ndarray) -> pd.DataFrame:
-        check, out = _chain_check(layout, max_bits), [np.zeros((0, 3), dtype=np.int64)]
+        out = [np.zeros((0, 3), dtype=np.int64)]
         spans = _spans(mat[:, 0], mat[:, 1], mat[:, 2])
         for start, end in zip(spans[:-1], spans[1:], strict=True):
             group = mat[start:end]
@@ -408,9 +413,14 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out.ravel()
 
 
+def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bitmap's bits at these places are set."""
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
 def _maybe(bits, row: Column) -> Column:  # noqa: ANN001
     """Whether ``row`` may be among the values of the broadcast bitmap ``bits``; false is certain."""
-    test = F.pandas_udf(lambda at: pd.Series((bits.value[at.to_numpy() >> 3] >> (at.to_numpy() & 7) & 1).astype(bool)), "boolean")
+    test = F.pandas_udf(lambda at: pd.Series(_held(bits.value, at.to_numpy())), "boolean")
     return test(_place(row))
 
 
@@ -421,11 +431,13 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "row"))
 
-    @F.pandas_udf("array<int>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(x, shingle).astype(np.uint32)).view(np.int32) for x in texts])
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_held(bits.value, batch.column("at").to_numpy())))
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle).astype(np.uint32)).view(np.int32) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, type=pa.list_(pa.int32()))], names=["row", "hashes"])
 
-    found = rows.where(_maybe(bits, F.col("row"))).select("row", hashed("text").alias("hashes"))
+    found = rows.select("row", _place(F.col("row")).alias("at"), "text").mapInArrow(hashed, "row binary, hashes array<int>")
     # repeated rows hold one text: any of them will do
     return staged(wanted.join(found, "row").groupBy("id").agg(F.first("hashes").alias("hashes")).withColumn("n", F.size("hashes")), "sets")
 
