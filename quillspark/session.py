@@ -70,5 +70,6 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows that one Arrow batch holds, for columns of long texts."""
+    """Bound the rows and bytes that one Arrow batch holds, for columns of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
