@@ -29,17 +29,19 @@ from __future__ import annotations
 import base64
 import contextlib
 import copy
+import ctypes
 import gc
 import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -219,6 +221,13 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: a worker that waits for another would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no malloc_trim in this C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class _Cutter:
     """Cuts texts into units that the pattern never joins: a space before a non-space opens a piece.
 
@@ -276,6 +285,8 @@ def piece_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
             if len(gone) > 800_000:
                 gone.clear()
             yield pd.DataFrame({"piece": pd.Series([x for x in new if len(x.encode()) <= LONG], dtype="object")})
+        seen, gone, fresh, new = set(), set(), set(), set()
+        give_back()
 
     return docs.select(F.col(text).alias("text")).mapInPandas(cut, "piece string").groupBy("piece").agg(F.count("*").alias("n"))
 
@@ -392,8 +403,8 @@ class _Coder:
 class _Filler:
     """Puts the ids of folded pieces in place of references; takes rows in the order in which ``_Coder`` gave them."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Callable[[], Vocabulary]):
+        self.vocabulary = vocabulary  # loaded only where a long piece is met
         self._start()
 
     def _start(self) -> None:
@@ -414,7 +425,7 @@ class _Filler:
             parts, at = [], 0
             sizes = sizes.copy()
             for i, n in enumerate(sizes.tolist()):
-                part = flat[at : at + n] if n else np.array(self.vocabulary.merged(new[i].encode()), dtype=np.uint32)
+                part = flat[at : at + n] if n else np.array(self.vocabulary().merged(new[i].encode()), dtype=np.uint32)
                 parts.append(part)
                 sizes[i] = len(part)
                 at += n
@@ -457,14 +468,18 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
     plain = spark.sparkContext.broadcast(vocabulary.plain())
     common = spark.sparkContext.broadcast(common_pieces(docs, vocabulary, text, most))
 
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coded_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _Coder(plain.value, common.value)
         for texts in batches:
             with _uncollected():
                 yield pd.DataFrame(list(coder.code(iter(texts))), columns=["codes", "new", "reset"])
 
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from coded_batches(batches)
+        give_back()
+
     def fill(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        filler = _Filler(plain.value)
+        filler = _Filler(lambda: plain.value)
         for batch in batches:
             rows = []
             with _uncollected():
@@ -473,6 +488,8 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
                     ids = filler.fill(codes)
                     rows.append((ids.view(np.int32), hashlib.sha256(ids).hexdigest()))
             yield pd.DataFrame(rows, columns=["ids", "sha256"])
+        del filler
+        give_back()
 
     coded = F.pandas_udf(code, "codes binary, new array<string>, reset boolean").asNondeterministic()
     filled = F.pandas_udf(fill, "ids array<int>, sha256 string").asNondeterministic()
