@@ -400,6 +400,11 @@ class _Coder:
             new, reset = [], False
 
 
+def _numbers(cell: pa.ListScalar) -> np.ndarray:
+    """The numbers of a cell of an array<int> column."""
+    return cell.values.to_numpy(zero_copy_only=False)
+
+
 class _Filler:
     """Puts the ids of folded pieces in place of references; takes rows in the order in which ``_Coder`` gave them."""
 
@@ -421,9 +426,9 @@ class _Filler:
             self._start()
         if not len(new):
             return
+        sizes, flat = sizes.astype(np.int64), flat.astype(np.uint32)
         if (sizes == 0).any():  # long pieces, not folded
             parts, at = [], 0
-            sizes = sizes.copy()
             for i, n in enumerate(sizes.tolist()):
                 part = flat[at : at + n] if n else np.array(self.vocabulary().merged(new[i].encode()), dtype=np.uint32)
                 parts.append(part)
@@ -437,7 +442,7 @@ class _Filler:
         self.flat[self.used : self.used + len(flat)] = flat
         self.n, self.used = self.n + len(sizes), self.used + len(flat)
 
-    def fill(self, codes: bytes) -> np.ndarray:
+    def fill(self, codes: bytes | pa.Buffer) -> np.ndarray:
         """All ids of a text."""
         given = np.frombuffer(codes, dtype="<u4")
         at = np.flatnonzero(given >= 65536)
@@ -458,7 +463,8 @@ class _Filler:
 def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids", most: int = COMMON) -> DataFrame:
     """``docs`` with a struct ``name``: ids (array<int>) of the whole text, and their SHA-256 as little-endian 32-bit integers.
 
-    The two functions of a task pass its rows on in order and share the numbering of references.
+    The two functions of a task pass its rows on in order and share the numbering of references. They take and give Arrow
+    arrays: a pandas function would make an object of each id.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -468,31 +474,34 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
     plain = spark.sparkContext.broadcast(vocabulary.plain())
     common = spark.sparkContext.broadcast(common_pieces(docs, vocabulary, text, most))
 
-    def coded_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _Coder(plain.value, common.value)
         for texts in batches:
             with _uncollected():
-                yield pd.DataFrame(list(coder.code(iter(texts))), columns=["codes", "new", "reset"])
-
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from coded_batches(batches)
+                rows = list(coder.code(x.as_py() for x in texts))
+                codes, new, resets = ([row[i] for row in rows] for i in range(3))
+                yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(new, pa.list_(pa.string())), pa.array(resets, pa.bool_())], names=["codes", "new", "reset"])
+        del coder
         give_back()
 
-    def fill(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         filler = _Filler(lambda: plain.value)
-        for batch in batches:
-            rows = []
+        for codes, new, resets, sizes, flat in batches:
+            ids, digests = [], []
             with _uncollected():
-                for codes, new, reset, sizes, flat in zip(*batch, strict=True):
-                    filler.take(new, np.asarray(sizes, dtype=np.int64), np.asarray(flat, dtype=np.uint32), reset)
-                    ids = filler.fill(codes)
-                    rows.append((ids.view(np.int32), hashlib.sha256(ids).hexdigest()))
-            yield pd.DataFrame(rows, columns=["ids", "sha256"])
+                for i, reset in enumerate(resets.to_pylist()):
+                    if reset or len(new[i]):
+                        filler.take(new[i].as_py(), _numbers(sizes[i]), _numbers(flat[i]), reset)
+                    ids.append(filler.fill(codes[i].as_buffer()))
+                    digests.append(hashlib.sha256(ids[-1]).hexdigest())
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).view(np.int32)))
+            yield pa.StructArray.from_arrays([lists, pa.array(digests, pa.string())], names=["ids", "sha256"])
         del filler
         give_back()
 
-    coded = F.pandas_udf(code, "codes binary, new array<string>, reset boolean").asNondeterministic()
-    filled = F.pandas_udf(fill, "ids array<int>, sha256 string").asNondeterministic()
+    coded = F.arrow_udf(code, "codes binary, new array<string>, reset boolean").asNondeterministic()
+    filled = F.arrow_udf(fill, "ids array<int>, sha256 string").asNondeterministic()
     none = F.array().cast("array<int>")
     folded = vocabulary.encode_all("_quill_code.new", lambda p, ids: F.when(F.octet_length(p) > LONG, none).otherwise(ids))
     step = docs.withColumn("_quill_code", coded(F.col(text))).withColumn("_quill_ids", folded)
