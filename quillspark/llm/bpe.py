@@ -20,7 +20,7 @@ a break) are therefore merged with a heap in the task that holds them, with the
 
 Defined results: a null text is encoded as an empty one, with no ids; repeated
 rows are encoded alike; an empty table gives an empty result; other columns, of any type, pass
-through untouched. Three session options are lowered for these plans: rows an Arrow batch, the length of plan
+through untouched. Session options are set for these plans: rows and bytes of an Arrow batch, and lowered, the length of plan
 descriptions and the fields that they name, which would hold the literals.
 """
 
@@ -34,7 +34,6 @@ import gc
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from zlib import crc32
@@ -42,6 +41,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -53,8 +53,8 @@ from quillspark.session import small_batches, staged
 COMMON = 1 << 20
 #: Bytes of a piece beyond which merges are kept in a heap.
 LONG = 400
-#: Units whose codes a task keeps, references that it numbers, and characters of text that it looks up at a time.
-_MEMO, _REFERENCES, _GROUP = 400_000, 300_000, 200_000
+#: Units that a task of the first pass remembers, references that one of the second numbers, and bytes of text that it codes at a time.
+_MEMO, _REFERENCES, _GROUP = 800_000, 300_000, 4_000_000
 _MARKS = frozenset(".,;:!?")
 _NO_RANK, _EMPTY, _EDGE = 1 << 16, 1 << 60, (1 << 16) - 1
 
@@ -228,83 +228,99 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _strings(values: list[str]) -> pa.Array:
+    return pa.array(values, pa.large_string())
+
+
 class _Cutter:
     """Cuts texts into units that the pattern never joins: a space before a non-space opens a piece.
 
-    A unit stands for itself after a space, but the first of a text for itself alone (marked by a
-    leading NUL-space, which no split at spaces yields). A text that holds a space before white space
-    or at its end is cut by the pattern alone, into pieces marked so.
+    A unit stands for itself after a space; the first of a text that opens without one is marked by NUL. A text that
+    holds NUL, or a space before white space or at its end, is cut by the pattern alone, into pieces marked by NUL and a space.
     """
 
+    #: White space by Python's rule is a superset of the pattern's.
+    ODD = r"\x00| (?:[\t-\r\x1c-\x1f\x{85}\p{Z}]|\z)"
+
     def __init__(self, pattern: str):
         self.cut = regex.compile(pattern)
-        self.gap = re.compile(r" (?:\s|\Z)")  # blanks by Python's rule are a superset of the pattern's
-
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.gap.search(text):
-            return ["\0 " + x for x in self.cut.findall(text)]
-        found = text.split(" ")
-        if found[0]:
-            found[0] = "\0 " + found[0]
-        else:
-            del found[0]
-        return found
+
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Units of each text (their number), which they are, text by text, and the distinct ones."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        opened = pc.starts_with(plain, " ")
+        whole = pc.if_else(opened, pc.utf8_slice_codeunits(plain, 1), pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())))
+        split = pc.split_pattern(whole, " ")
+        pieces = [["\0 " + x for x in self.cut.findall(text)] for text in texts.filter(pa.array(odd)).to_pylist()]
+        found = pa.concat_arrays([split.flatten(), _strings([x for own in pieces for x in own])]).dictionary_encode()
+        numbers, sizes = found.indices.to_numpy(), np.zeros(len(texts), dtype=np.int64)
+        sizes[~odd] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        sizes[odd] = [len(own) for own in pieces]
+        if odd.any():  # back into the order of texts
+            starts = np.zeros(len(texts), dtype=np.int64)
+            for part, before in ((~odd, 0), (odd, sizes[~odd].sum())):
+                starts[part] = before + np.cumsum(sizes[part]) - sizes[part]
+            numbers = numbers[_ranges(starts, sizes)]
+        return sizes, numbers, found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
     def pieces(self, unit: str) -> list[str]:
         if unit.isalpha():  # letters alone, or with one mark: the pattern's commonest cases
             return [" " + unit]
         if unit[-1:] in _MARKS and unit[:-1].isalpha():
             return [" " + unit[:-1], unit[-1]]
-        return self.cut.findall(unit[2:] if unit[:2] == "\0 " else " " + unit)
+        if unit[:1] != "\0":
+            return self.cut.findall(" " + unit)
+        return [unit[2:]] if unit[1:2] == " " else self.cut.findall(unit[1:])
 
 
 def piece_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """piece, n: the distinct pieces of all texts, and in how many places (tasks, mostly) each was met."""
     pattern = vocabulary.pattern
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _Cutter(pattern)
         seen: set = set()
         gone: set = set()
         for batch in batches:
             with _uncollected():
-                fresh: set = set()
-                for value in batch["text"]:
-                    fresh.update(cutter.units(value or ""))
-                fresh -= seen
-                seen |= fresh
-                new: set = set()
-                for unit in fresh:
-                    new.update(cutter.pieces(unit))
-                new -= gone
+                _, _, found = cutter.units(batch.column(0))
+                fresh = [unit for unit in found if unit not in seen]
+                seen.update(fresh)
+                new = {piece for unit in fresh for piece in cutter.pieces(unit)} - gone
                 gone |= new
-            if len(seen) > 800_000:
+            if len(seen) > _MEMO:
                 seen.clear()
-            if len(gone) > 800_000:
+            if len(gone) > _MEMO:
                 gone.clear()
-            yield pd.DataFrame({"piece": pd.Series([x for x in new if len(x.encode()) <= LONG], dtype="object")})
-        seen, gone, fresh, new = set(), set(), set(), set()
+            pieces = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([pieces.filter(pc.less_equal(pc.binary_length(pieces), LONG))], names=["piece"])
+        del seen, gone
         give_back()
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(cut, "piece string").groupBy("piece").agg(F.count("*").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(cut, "piece string").groupBy("piece").agg(F.count("*").alias("n"))
 
 
 class _Packed:
-    """Ids of pieces, found by 96 bits of hashes: XXH64 and CRC-32. Ids are given as little-endian 32-bit integers."""
+    """Ids of pieces, found by 96 bits of hashes: XXH64 and CRC-32."""
 
     def __init__(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.checks, self.sizes = hashes[order], checks[order], sizes[order]
         ends = np.cumsum(sizes, dtype=np.int64)
         self.starts, self.ids = (ends - sizes)[order].astype(np.uint32), ids
-        self.data = b""  # of four bytes an id, made where it is used
 
-    def get(self, pieces: list[bytes]) -> list[bytes | None]:
-        """Ids of each piece, or None if the table doesn't hold it."""
+    def find(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the table each piece is, and whether it is there."""
         if not len(self.hashes) or not pieces:
-            return [None] * len(pieces)
+            return np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=bool)
         digest = xxhash.xxh64_intdigest
         wanted = np.array([digest(p, 42) for p in pieces], dtype=np.uint64)
         checks = np.fromiter(map(crc32, pieces), dtype=np.uint32, count=len(pieces))
@@ -312,10 +328,7 @@ class _Packed:
         at = np.empty(len(wanted), dtype=np.int64)
         at[order] = np.searchsorted(self.hashes, wanted[order])
         at[at == len(self.hashes)] = 0
-        same = (self.hashes[at] == wanted) & (self.checks[at] == checks)
-        self.data = data = self.data or self.ids.astype("<u4").tobytes()
-        starts = 4 * self.starts[at].astype(np.int64)
-        return [data[a:b] if ok else None for a, b, ok in zip(starts.tolist(), (starts + 4 * self.sizes[at].astype(np.int64)).tolist(), same.tolist(), strict=True)]
+        return at, (self.hashes[at] == wanted) & (self.checks[at] == checks)
 
 
 def _packed(pieces: DataFrame) -> _Packed:
@@ -354,50 +367,57 @@ class _Coder:
     """Writes texts as 32-bit codes: ids, and from 65,536 on references to pieces that are still to be folded."""
 
     def __init__(self, vocabulary: Vocabulary, table: _Packed):
-        self.cutter, self.table = _Cutter(vocabulary.pattern), table
-        self.single = {p: i.to_bytes(4, "little") for p, i in vocabulary.ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.cutter, self.table, self.ranks = _Cutter(vocabulary.pattern), table, vocabulary.ranks
         self.sent: dict[bytes, int] = {}
 
-    def code(self, texts: Iterator[str | None]) -> Iterator[tuple[bytes, list[str], bool]]:
-        """(codes, new pieces, whether references start anew) of each text; a reference is to a piece of its own or of an earlier text."""
-        group: list[list[str]] = []
-        size = 0
-        for value in texts:
-            group.append(self.cutter.units(value or ""))
-            size += len(value or "")
-            if size > _GROUP:
-                yield from self._finish(group)
-                group, size = [], 0
-        yield from self._finish(group)
-
-    def _finish(self, group: list[list[str]]) -> Iterator[tuple[bytes, list[str], bool]]:
+    def code(self, texts: pa.Array) -> pa.Array:
+        """codes, new pieces, whether references start anew: of each text; a reference is to a piece of its own or of an earlier text."""
+        bulk = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // _GROUP
+        edges = [0, *(np.flatnonzero(np.diff(bulk)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([self._group(texts[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
+
+    def _group(self, texts: pa.Array) -> pa.Array:
         reset = len(self.sent) > _REFERENCES
         if reset:
             self.sent.clear()
-        if reset or len(self.memo) > _MEMO:
-            self.memo.clear()  # it holds references too
-        memo, sent, single = self.memo, self.sent, self.single
-        looked = [list(map(memo.get, units)) for units in group]
-        gaps = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in looked]
-        fresh = list({units[i] for units, own in zip(group, gaps, strict=True) for i in own})
-        cut = [[p.encode() for p in self.cutter.pieces(unit)] for unit in fresh]
-        unknown = list({p for own in cut for p in own if p not in single})
-        codes = dict(zip(unknown, self.table.get(unknown), strict=True))
+        counts, numbers, units = self.cutter.units(texts)
+        cut = list(map(self.cutter.pieces, units))
+        places: dict[str, int] = {}
+        held = np.array([places.setdefault(p, len(places)) for own in cut for p in own], dtype=np.int64)
+        ends = np.cumsum([0, *map(len, cut)])
+        flat, starts, sizes, new = self._codes([p.encode() for p in places])
+        # of pieces, then of units, then of texts
+        flat, ends = flat[_ranges(starts[held], sizes[held])], np.append(0, np.cumsum(sizes[held]))[ends]
+        starts, sizes = ends[:-1], np.diff(ends)
+        flat = flat[_ranges(starts[numbers], sizes[numbers])]
+        ends = np.append(0, np.cumsum(sizes[numbers]))[np.append(0, np.cumsum(counts))]
+        buffers = [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))]
+        codes = pa.Array.from_buffers(pa.binary(), len(texts), buffers)
+        first = [True] + [False] * (len(texts) - 1) if len(texts) else []
+        lists = pa.array([new if x else [] for x in first], pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([codes, lists, pa.array([x and reset for x in first], pa.bool_())], names=["codes", "new", "reset"])
+
+    def _codes(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Codes of distinct pieces, where those of each start and how many they are; pieces that got a reference now."""
+        own = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int64)
+        sizes = np.ones(len(pieces), dtype=np.int64)
+        others = np.flatnonzero(own < 0)
+        at, common = self.table.find([pieces[i] for i in others.tolist()])
+        sizes[others[common]] = self.table.sizes[at[common]]
         new: list[str] = []
-        for piece in [p for p, found in codes.items() if found is None]:
-            at = sent.get(piece)
-            if at is None:
-                at = sent[piece] = len(sent)
-                new.append(piece.decode())
-            codes[piece] = (65536 + at).to_bytes(4, "little")
-        for unit, own in zip(fresh, cut, strict=True):
-            memo[unit] = b"".join([single.get(p) or codes[p] for p in own])
-        for units, found, own in zip(group, looked, gaps, strict=True):
-            for i in own:
-                found[i] = memo[units[i]]
-            yield b"".join(found), new, reset
-            new, reset = [], False
+        for i in others[~common].tolist():
+            number = self.sent.get(pieces[i])
+            if number is None:
+                number = self.sent[pieces[i]] = len(self.sent)
+                new.append(pieces[i].decode())
+            own[i] = 65536 + number
+        starts = np.cumsum(sizes) - sizes
+        flat = np.empty(sizes.sum(), dtype=np.uint32)
+        single = own >= 0
+        flat[starts[single]] = own[single]
+        to, given = others[common], at[common]
+        flat[_ranges(starts[to], sizes[to])] = self.table.ids[_ranges(self.table.starts[given].astype(np.int64), sizes[to])]
+        return flat, starts, sizes, new
 
 
 def _numbers(cell: pa.ListScalar) -> np.ndarray:
@@ -467,7 +487,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
     arrays: a pandas function would make an object of each id.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4096)
     # the literals would otherwise stand whole in each plan's description and in its nodes', which the driver keeps
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     spark.conf.set("spark.sql.debug.maxToStringFields", "0")
@@ -478,9 +498,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
         coder = _Coder(plain.value, common.value)
         for texts in batches:
             with _uncollected():
-                rows = list(coder.code(x.as_py() for x in texts))
-                codes, new, resets = ([row[i] for row in rows] for i in range(3))
-                yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(new, pa.list_(pa.string())), pa.array(resets, pa.bool_())], names=["codes", "new", "reset"])
+                yield coder.code(texts)
         del coder
         give_back()
 
