@@ -54,7 +54,7 @@ COMMON = 1 << 20
 #: Bytes of a piece beyond which merges are kept in a heap.
 LONG = 400
 #: Units that a task of the first pass remembers, references that one of the second numbers, and bytes of text that it codes at a time.
-_MEMO, _REFERENCES, _GROUP = 800_000, 300_000, 4_000_000
+_MEMO, _REFERENCES, _GROUP = 800_000, 300_000, 2_000_000
 _MARKS = frozenset(".,;:!?")
 _NO_RANK, _EMPTY, _EDGE = 1 << 16, 1 << 60, (1 << 16) - 1
 
@@ -231,7 +231,9 @@ def give_back() -> None:
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(sizes, dtype=np.int64)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - (ends - sizes), sizes)
+    return out
 
 
 def _strings(values: list[str]) -> pa.Array:
@@ -487,7 +489,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name:
     arrays: a pandas function would make an object of each id.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4096)
+    small_batches(spark)
     # the literals would otherwise stand whole in each plan's description and in its nodes', which the driver keeps
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     spark.conf.set("spark.sql.debug.maxToStringFields", "0")
