@@ -15,13 +15,15 @@ Wide mode (``drop_near_duplicates``): for a Jaccard similarity of shingle sets.
 There the budget is a large share of the bits and no segment need be equal.
 Fingerprints of 256 bits are laid on several rings (fixed permutations of the
 bits); a candidate must share a whole segment, keep within the budgets along the
-chain that starts there, and pass the full check. Of the candidates those are
-links whose shingle sets are similar enough, so the filter loses some pairs just
-over the limit (the README gives its measured recall) but joins none under it.
-A small bucket's members are compared pair by pair. In a larger one they are
-first compared with a few leaders of their block; where the bucket then still
-holds several components, members outside the largest are compared with the
-whole bucket, block by block.
+chain that starts there, and pass the full check. A small bucket's members are
+compared pair by pair, a larger one's with a few leaders of their block, and each
+member's nearest candidate is verified by the sets. This joins most of what
+belongs together, but the filter is probabilistic and takes one candidate only,
+so an exact way follows: two sets that are similar enough share one of their
+rarest shingles (prefix filter). All pairs of different components in the buckets
+of such shingles are compared, first by sizes and parities of the sets, which
+lose none, then by the sets. They are compared within tasks, which return no more
+links than it takes to join the components, so rows don't grow with pairs.
 
 Equal fingerprints (wide mode: equal shingle sets) are collapsed first, so
 copies never meet in a join. Only aggregates, equi-joins and components follow.
@@ -324,7 +326,10 @@ def _words_of(fps: DataFrame, n: int) -> list[Column]:
 
 
 def near_links(fps: DataFrame, shared: DataFrame, layout: list[list[list[int]]], max_bits: int) -> DataFrame:
-    """(u, v, bits), u < v: candidates within the blocks of all buckets, by chains and Hamming distance."""
+    """(u, v, bits), u < v: each member's nearest candidate in its block of each bucket, by chains and Hamming distance.
+
+    The others are left to ``cross_links``, so rows are no more than the buckets' members.
+    """
     n = sum(map(len, layout[0])) // 64
     block = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / BLOCK).cast("long"))
     members = shared.join(fps.select("id", *_words_of(fps, n)), "id")
@@ -334,55 +339,124 @@ def near_links(fps: DataFrame, shared: DataFrame, layout: list[list[list[int]]],
 
     def run(mat: np.ndarray) -> pd.DataFrame:
         i, j, bits = block_links(mat[:, 0], mat[:, 1], mat[:, 4:].view(np.uint64), check)
+        if len(i):
+            end, other = np.append(i, j), np.append(j, i)
+            order = np.lexsort((other, np.append(bits, bits), end))
+            best = np.unique(order[_spans(end[order])[:-1]] % len(i))
+            i, j, bits = i[best], j[best], bits[best]
         a, b = mat[i, 3], mat[j, 3]
         return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b), "bits": bits})
 
     return _in_blocks(rows, run, "u long, v long, bits long", "key", "block").distinct()
 
 
-def cross_links(fps: DataFrame, shared: DataFrame, roots: DataFrame, layout: list[list[list[int]]], max_bits: int) -> DataFrame:
-    """(u, v, bits), u < v: for the larger buckets, each member's nearest candidate in every other component of its bucket.
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """1,024 bits: whether classes of hashes have an odd number of members. Two sets differ in no fewer places."""
+    return np.packbits((np.bincount((hashes & hashes.dtype.type(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _hopeful(q: int, at: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the rows ``at``, those that may be similar enough to row ``q`` by sizes and parities, the likeliest first; no other is."""
+    at = at[np.minimum(sizes[at], sizes[q]) >= np.maximum(sizes[at], sizes[q]) * similarity]
+    apart = np.bitwise_count((bits[at] ^ bits[q]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    near = apart <= (sizes[at] + sizes[q]) * (1 - similarity) / (1 + similarity) + 1e-6
+    return at[near][np.argsort(apart[near], kind="stable")]
+
+
+def _others(q: int, tile: dict[str, np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Held rows of other components; of two rows that are both asked, the one of the larger id asks."""
+    return np.flatnonzero(tile["held"] & (label != label[q]) & (tile["main"] | (tile["id"] < tile["id"][q])))
+
 
-    Members outside the bucket's largest component are compared with the whole bucket, in blocks by blocks.
+def hopeful(tile: dict[str, np.ndarray], bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Ids of the tile that may be similar enough to one of another component."""
+    mark = np.zeros(len(bits), dtype=bool)
+    for q in np.flatnonzero(tile["asked"]):
+        at = _hopeful(q, _others(q, tile, tile["root"]), tile["n"], bits, similarity)
+        mark[at] = True
+        mark[q] |= len(at) > 0
+    return np.unique(tile["id"][mark])
+
+
+def alike(tile: dict[str, np.ndarray], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of roots that suffice to join all components with sets this similar, one held and one asked.
+
+    Every pair of different components is compared, but those that earlier pairs have joined.
     """
-    n = sum(map(len, layout[0])) // 64
-    rooted = shared.where(F.col("n") > SMALL_BUCKET).join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    sizes, label, found = tile["n"], tile["root"].copy(), []
+    bits = np.stack([parity(x) for x in sets])
+    for q in np.flatnonzero(tile["asked"]):
+        at, step = _hopeful(q, _others(q, tile, label), sizes, bits, similarity), 4
+        while len(at):
+            part, at, step = at[:step], at[step:], min(4 * step, 256)
+            values = np.concatenate([sets[j] for j in part])
+            hit = sets[q][np.minimum(np.searchsorted(sets[q], values), sizes[q] - 1)] == values
+            both = np.add.reduceat(hit, np.append(0, np.cumsum(sizes[part])[:-1]), dtype=np.int64)
+            for j in part[both >= (sizes[part] + sizes[q] - both) * similarity]:
+                if label[j] != label[q]:
+                    found.append((int(tile["root"][j]), int(tile["root"][q])))
+                    label[label == label[j]] = label[q]
+            at = at[label[at] != label[q]]
+    return found
+
+
+def _tiles(buckets: DataFrame, holds: DataFrame, roots: DataFrame, longs: Column):  # noqa: ANN202
+    """Rows of ``buckets(key, id)`` with ``holds(id, n, ...)``, grouped in tiles in which all pairs of different components meet.
+
+    Members outside the bucket's largest component are asked, in blocks, and meet all blocks of the bucket. ``longs``
+    tells how many longs a row of so many n holds.
+    """
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rooted = buckets.join(holds.select("id", "n"), "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", longs.alias("n"), F.coalesce("root", "id").alias("root"))
     rooted = staged(rooted, "rooted")
-    per = rooted.groupBy("key", "root", "n").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("key", "n").agg(F.max(F.struct("c", "root")).alias("top")).where(F.col("top.c") < F.col("n"))
-    open_ = open_.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("asks"))
-    rows = rooted.join(open_, "key").join(fps.select("id", *_words_of(fps, n)), "id")
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    per = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n")).where(F.col("top.c") < F.col("c"))
+    asks = F.col("c") - F.col("top.c")
+    # tiles for all tasks, neither tiny nor more than a task holds
+    largest = F.least(F.lit(float(BLOCK)), F.lit(2.0**22) * F.col("c") / F.col("n"))
+    side = F.greatest(F.lit(1.0), F.least(largest, F.greatest(F.lit(64.0), F.sqrt(F.col("c") * asks / (4.0 * parts)))))
+    open_ = per.select("key", F.col("top.root").alias("top"), F.ceil(F.col("c") / side).cast("int").alias("blocks"), F.ceil(asks / side).cast("int").alias("asks"))
     deal = lambda of: F.pmod(F.xxhash64("id", "key"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    own = ["key", "id", "root", *(f"w{k}" for k in range(n))]
-    held = rows.select(*own, deal("blocks").alias("block"), every("asks").alias("ask"), F.lit(0).alias("asked"))
-    asked = rows.where("root <> main").select(*own, deal("asks").alias("ask"), every("blocks").alias("block"), F.lit(1).alias("asked"))
-    both = held.unionByName(asked).select("key", "block", "ask", F.col("asked").alias("order"), "id", "root", *(f"w{k}" for k in range(n)))
+    rows = rooted.drop("n").join(open_, "key").withColumns({"main": F.col("root") == F.col("top"), "own": deal("blocks"), "own_ask": deal("asks")})
+    held = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda a: F.struct(F.col("own").alias("block"), a.alias("ask")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("own_ask").alias("ask")))
+    places = F.when(F.col("main"), held).otherwise(F.array_union(held, asked))
+    rows = rows.join(holds, "id").select("*", F.explode(places).alias("at"))
+    marks = {"held": F.col("at.block") == F.col("own"), "asked": ~F.col("main") & (F.col("at.ask") == F.col("own_ask"))}
+    return rows.select("key", "at.*", "id", "root", "main", *(v.alias(k) for k, v in marks.items()), *(c for c in holds.columns if c != "id")).groupBy("key", "block", "ask")
 
-    check = _chain_check(layout, max_bits)
 
-    def run(mat: np.ndarray) -> pd.DataFrame:
-        out = [np.zeros((0, 3), dtype=np.int64)]
-        spans = _spans(mat[:, 0], mat[:, 1], mat[:, 2])
-        for start, end in zip(spans[:-1], spans[1:], strict=True):
-            group = mat[start:end]
-            first = int(np.searchsorted(group[:, 3], 1))
-            words = group[:, 6:].view(np.uint64)
-            for q in range(first, len(group)):
-                others = np.flatnonzero(group[:first, 5] != group[q, 5])
-                apart = words[others] ^ words[q]
-                near = check(apart, np.full(len(others), group[q, 0] >> 48))
-                if len(near):
-                    bits = np.bitwise_count(apart[near]).sum(axis=1, dtype=np.int64)
-                    j = others[near]
-                    order = np.lexsort((bits, group[j, 5]))
-                    roots_ = group[j[order], 5]
-                    best = order[np.append(True, roots_[1:] != roots_[:-1])]
-                    a, b = group[q, 4], group[j[best], 4]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b), bits[best]], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["u", "v", "bits"])
-
-    return _in_blocks(both, run, "u long, v long, bits long", "key", "block", "ask").distinct()
+def _columns(tile: pa.Table) -> dict[str, np.ndarray]:
+    return {c: tile.column(c).to_numpy() for c in ("id", "root", "main", "held", "asked", "n")}
+
+
+def _lists(tile: pa.Table, name: str) -> list[np.ndarray]:
+    lists = pa.concat_arrays(tile.column(name).chunks)
+    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def hopeful_rows(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """key, id: the rows of ``buckets`` that may be similar enough to one of another component, by ``sketches(id, n, bits)``; no other is."""
+
+    def run(key: tuple, tile: pa.Table) -> pa.Table:
+        ids = hopeful(_columns(tile), np.stack(_lists(tile, "bits")), similarity)
+        return pa.table({"key": pa.array(np.full(len(ids), key[0].as_py()), pa.int64()), "id": pa.array(ids, pa.int64())})
+
+    return _tiles(buckets, sketches, roots, F.lit(24)).applyInArrow(run, "key long, id long").distinct()
+
+
+def cross_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): roots to be joined, as the sets of two rows of one of ``buckets(key, id)`` have this similarity.
+
+    No pair of different components is left out. A tile returns fewer links than it has rows.
+    """
+
+    def run(tile: pa.Table) -> pa.Table:
+        found = alike(_columns(tile), _lists(tile, "hashes"), similarity)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return _tiles(buckets, sets, roots, F.col("n")).applyInArrow(run, "u long, v long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -425,21 +499,109 @@ def _maybe(bits, row: Column) -> Column:  # noqa: ANN001
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """id, n, hashes: the 32-bit hashes of the distinct shingles of ``rows(row, text)`` for the rows of ``wanted(id, row)``.
+    """id, n, hashes: the sorted hashes of the distinct shingles of ``rows(row, text)`` for the rows of ``wanted(id, row)``.
 
     Texts are read, not shuffled: a bitmap of the wanted rows tells nearly all others apart.
     """
+    found = _of_texts(rows, wanted, lambda x: np.sort(shingle_hashes(x, shingle).view(np.int64)))
+    return staged(found.withColumn("n", F.size("hashes")), "sets")
+
+
+def _of_texts(rows: DataFrame, wanted: DataFrame, hashed) -> DataFrame:  # noqa: ANN001
+    """id, hashes: what ``hashed`` makes of the texts of ``wanted``."""
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "row"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_held(bits.value, batch.column("at").to_numpy())))
-            sets = [np.unique(shingle_hashes(x.as_py(), shingle).astype(np.uint32)).view(np.int32) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, type=pa.list_(pa.int32()))], names=["row", "hashes"])
+            made = [hashed(x.as_py()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, type=pa.list_(pa.int64()))], names=["row", "hashes"])
 
-    found = rows.select("row", _place(F.col("row")).alias("at"), "text").mapInArrow(hashed, "row binary, hashes array<int>")
+    found = rows.select("row", _place(F.col("row")).alias("at"), "text").mapInArrow(walk, "row binary, hashes array<long>")
     # repeated rows hold one text: any of them will do
-    return staged(wanted.join(found, "row").groupBy("id").agg(F.first("hashes").alias("hashes")).withColumn("n", F.size("hashes")), "sets")
+    return wanted.join(found.groupBy("row").agg(F.first("hashes").alias("hashes")), "row").select("id", "hashes")
+
+
+#: Counters of shingles, as a power of two at most, and how many go together.
+COUNTERS, CHUNK = 22, 4096
+
+
+def levels(rows: DataFrame, n_rows: int, shingle: int) -> np.ndarray:
+    """How common shingles are in ``rows.text``: four steps per doubling, by the last bits of their hashes.
+
+    Shingles share counters. That makes some look commoner than they are, which costs work in ``prefixes``, not links.
+    """
+    size = 1 << min(COUNTERS, max(12, (16 * n_rows).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            hashes = [shingle_hashes(x.as_py(), shingle) & np.uint64(size - 1) for x in batch.column("text")]
+            at, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *hashes]), return_counts=True)
+            counts[at.astype(np.int64)] += n
+        for start in range(0, size, 64 * CHUNK):
+            at = np.arange(start, min(size, start + 64 * CHUNK), CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(at // CHUNK, pa.int64()), pa.array([counts[i : i + CHUNK].tobytes() for i in at], pa.binary())], names=["chunk", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        counts = np.sum([np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts")], axis=0)
+        steps = np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+        return pa.table({"chunk": table.column("chunk")[:1], "steps": pa.array([steps.tobytes()], pa.binary())})
+
+    # few tasks: each returns all counters
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, 1 + (n_rows >> 13))
+    counted = rows.select("text").coalesce(tasks).mapInArrow(count, "chunk long, counts binary")
+    out = np.zeros((size // CHUNK, CHUNK), dtype=np.uint8)
+    for r in counted.groupBy("chunk").applyInArrow(total, "chunk long, steps binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(bytes(r["steps"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of n shingles, so many hold one of any set this similar, in an order common to all sets."""
+    return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
+
+
+def prefixes(rows: DataFrame, wanted: DataFrame, shingle: int, similarity: float, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(token, id, low, n) and (id, n, bits): the rarest shingles of the rows of ``wanted(id, row)`` that n > 1 of them share, low
+    being the least id; and the size and parities of every row's set.
+
+    Any two sets with this similarity share one of their rarest: the prefix filter, without loss.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(levels(rows, n_rows, shingle))
+
+    def rarest(text: str | None) -> np.ndarray:
+        hashes = shingle_hashes(text, shingle)
+        steps = common.value[(hashes & np.uint64(len(common.value) - 1)).astype(np.int64)]
+        first = hashes[np.argsort(steps, kind="stable")[: prefix_length(len(hashes), similarity)]]
+        return np.concatenate([[len(hashes)], parity(hashes), first.view(np.int64)])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = staged(_of_texts(rows, wanted, rarest), "rarest")
+    tokens = made.select("id", F.explode(F.slice("hashes", F.lit(18), F.size("hashes"))).alias("token")).repartition(parts, "token")
+    same = Window.partitionBy("token")
+    shared = tokens.select("token", "id", F.min("id").over(same).alias("low"), F.count("*").over(same).alias("n")).where("n > 1")
+    return staged(shared, "prefixes"), made.select("id", F.col("hashes")[0].alias("n"), F.slice("hashes", 2, 16).alias("bits"))
+
+
+def buckets_of(shared: DataFrame) -> DataFrame:
+    """key, id: buckets that hold together every two ids of ``shared(token, id, low, n)`` with a common token.
+
+    Ids that tokens connect make one bucket, where that takes fewer comparisons than a bucket for each token.
+    Buckets of the same members are one.
+    """
+    linked = connected_components(shared.where("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v")))
+    placed = staged(shared.join(linked, F.col("low") == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "low").alias("whole")), "placed")
+    members = placed.select("whole", "id").distinct()
+    work = placed.groupBy("whole").agg(F.sum(F.col("n").cast("double")).alias("work"))
+    fit = members.groupBy("whole").agg(F.count("*").cast("double").alias("c")).join(work, "whole")
+    fit = fit.select("whole", (F.col("c") * F.col("c") <= F.greatest(F.col("work"), F.lit(4096.0))).alias("one"))
+    wholes = members.join(fit.where("one"), "whole").select(F.xxhash64(F.lit(0), "whole").alias("key"), "id")
+    rest = placed.join(fit.where("not one"), "whole").select("token", "id")
+    marks = rest.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("b"))
+    once = marks.groupBy("c", "a", "b").agg(F.min("token").alias("token")).select("token")
+    # should two keys be equal, their buckets are compared as one
+    return wholes.union(rest.join(once, "token").select(F.xxhash64(F.lit(1), "token").alias("key"), "id")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -452,26 +614,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicate_classes(distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float, max_bits: int = WIDE_BITS) -> DataFrame:
-    """(node, root) of ``distinct(id, row, words)``: components of candidates whose texts in ``rows`` are similar enough.
+    """(node, root) of ``distinct(id, row, words)``: the components of all pairs whose texts in ``rows`` are similar enough.
 
-    Each row's two nearest candidates are verified first; of the others, only those between different components.
+    Each row's two nearest candidates by fingerprint are verified first, which joins most of what belongs together.
+    The prefix filter then finds every other pair; those between different components are compared.
     """
     fps = distinct.select("id", "words")
-    m, n_rings = ring_plan(fps.count())
+    n_rows = fps.count()
+    m, n_rings = ring_plan(n_rows)
     layout = rings(256, n_rings, m)
-    shared = shared_keys(fps, layout)
-    near = staged(near_links(fps, shared, layout, max_bits), "near")
-    ends = near.select(F.col("u").alias("id")).union(near.select("v")).union(shared.where(F.col("n") > SMALL_BUCKET).select("id")).distinct()
-    sets = shingle_sets(rows, distinct.join(ends, "id", "left_semi").select("id", "row"), shingle)
-    both = near.select(F.col("u").alias("a"), F.col("v").alias("b"), "bits").union(near.select("v", "u", "bits"))
+    near = near_links(fps, shared_keys(fps, layout), layout, max_bits)
+    both = staged(near, "near")
+    both = both.select(F.col("u").alias("a"), F.col("v").alias("b"), "bits").union(both.select("v", "u", "bits"))
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))).where("r <= 2")
-    first = best.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    roots = staged(connected_components(verified(first, sets, similarity)), "roots")
-    more = near.select("u", "v").union(cross_links(fps, shared, roots, layout, max_bits).select("u", "v"))
-    across = more.join(roots.alias("ru"), F.col("u") == F.col("ru.node"), "left").join(roots.alias("rv"), F.col("v") == F.col("rv.node"), "left")
-    across = across.select("u", "v", F.coalesce("ru.root", "u").alias("a"), F.coalesce("rv.root", "v").alias("b")).where("a <> b").distinct()
-    across = staged(across, "across")
-    joined = verified(across, sets, similarity).join(across, ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    first = staged(best.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "first")
+    wanted = distinct.select("id", "row")
+    ends = first.select(F.col("u").alias("id")).union(first.select("v")).distinct()
+    roots = staged(connected_components(verified(first, shingle_sets(rows, wanted.join(ends, "id", "left_semi"), shingle), similarity)), "roots")
+    shared, sketches = prefixes(rows, wanted, shingle, similarity, n_rows)
+    # sets are long: parities first tell which are needed
+    open_ = staged(hopeful_rows(buckets_of(shared), sketches, roots, similarity), "open")
+    sets = shingle_sets(rows, wanted.join(open_.select("id").distinct(), "id", "left_semi"), shingle)
+    joined = staged(cross_links(open_, sets, roots, similarity), "joined")
     later = connected_components(joined).select(F.col("node").alias("mid"), F.col("root").alias("top"))
     inner = roots.join(later, roots.root == later.mid, "left").select("node", F.coalesce("top", "root").alias("root"))
     known = later.join(roots, F.col("mid") == F.col("node"), "left_anti").select(F.col("mid").alias("node"), F.col("top").alias("root"))

@@ -218,6 +218,50 @@ def test_wide_mode_in_large_buckets(spark, monkeypatch):
     assert want <= got and len(got) <= len(want) + 1
 
 
+def test_wide_mode_finds_what_fingerprints_miss(spark, monkeypatch):
+    """The prefix filter alone gives the exact components, in buckets for ids that tokens connect and in small tiles."""
+    texts = loose_group()
+    monkeypatch.setattr(simhash, "_chain_check", lambda layout, max_bits: lambda apart, starts: np.zeros(0, dtype=np.int64))
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame).select("doc_id").collect()} == plain_survivors(texts)
+
+
+def test_candidates_of_a_large_group_stay_few(spark, monkeypatch):
+    """60 near copies have 1,770 pairs, but each row of a bucket brings one candidate at most."""
+    rows = variants(n_groups=1, copies=60, changed=2)[0]
+    sizes, plain = {}, simhash.staged
+
+    def counted(df, name="stage"):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+    assert sizes["near"] < 885, sizes
+
+
+def test_alike_against_all_pairs():
+    """Also where a component's likeliest row is not similar enough and another one is."""
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(-(2**62), 2**62, 60) for _ in range(3)]
+    sets = []
+    for k in range(90):
+        own = bases[k % 3].copy()
+        own[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(-(2**62), 2**62)
+        sets.append(np.unique(own))
+    ids, roots = np.arange(90), np.array([k if k % 2 else k % 3 for k in range(90)])
+    every = np.ones(90, dtype=bool)
+    tile = {"id": ids, "root": roots, "main": roots == 0, "held": every, "asked": roots != 0, "n": np.array([len(x) for x in sets])}
+    near = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+    want = plain_components(range(90), lambda a, b: roots[a] == roots[b] or near(a, b))
+    links = {(min(x), max(x)) for x in simhash.alike(tile, sets, 0.8)}
+    assert plain_components(range(90), lambda a, b: roots[a] == roots[b] or (min(roots[a], roots[b]), max(roots[a], roots[b])) in links) == want
+    marked = set(simhash.hopeful(tile, np.stack([simhash.parity(x) for x in sets]), 0.8).tolist())
+    assert {x for a in ids for b in ids if roots[a] != roots[b] and near(a, b) for x in (a, b)} <= marked
+
+
 def test_bitmap_filter_is_no_more_than_a_filter(spark, monkeypatch):
     """Survivors are the same if all rows share a few places of the bitmap."""
     texts = loose_group(30)
